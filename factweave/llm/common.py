@@ -58,15 +58,17 @@ def _simhash(hashes: Column, lane: int) -> Column:
         zero,
         lambda acc, h: F.struct(*[(acc[f"c{s}"] + F.shiftrightunsigned(h, s).bitwiseAND(F.lit(ones))).alias(f"c{s}") for s in range(lane)]),
     )
-    top = _signed(_spread(lane) << (lane - 1))
-    # adding this to a lane sets its highest bit if its count is over half
-    bias = (F.lit((1 << (lane - 1)) - 1) - F.floor(F.size(hashes) / 2)).cast("long") * F.lit(ones)
+    # adding this to a lane sets its highest bit if its count is over half; by halves, so that nothing overflows
+    bias = F.lit((1 << (lane - 1)) - 1) - F.floor(F.size(hashes) / 2)
+    half, top = _spread(lane) & 0xFFFFFFFF, (_spread(lane) << (lane - 1)) & 0xFFFFFFFF
 
     def bits(acc: Column) -> Column:
-        return reduce(
-            lambda a, b: a.bitwiseOR(b),
-            [F.shiftleft(F.shiftrightunsigned((acc[f"c{s}"] + bias).bitwiseAND(F.lit(top)), lane - 1), s) for s in range(lane)],
-        )
+        def part(s: int, at: int) -> Column:
+            lanes = F.shiftrightunsigned(acc[f"c{s}"], at).bitwiseAND(F.lit(0xFFFFFFFF))
+            over = (lanes + (bias * F.lit(half)).cast("long")).bitwiseAND(F.lit(top))
+            return F.shiftleft(F.shiftrightunsigned(over, lane - 1), s + at)
+
+        return reduce(lambda a, b: a.bitwiseOR(b), [part(s, at) for s in range(lane) for at in (0, 32)])
 
     return F.element_at(F.transform(F.array(sums), bits), 1)
 
