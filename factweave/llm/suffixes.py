@@ -126,7 +126,7 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     rows = _contexts(texts.select("d.tid", "d.text", "p.found"))
     size, spans = 128, None
     low, high, block = F.col("low"), F.col("high"), F.col("block")
-    rows = rows.withColumn("block", F.explode(F.sequence(F.floor(low / size), F.floor(high / size))) * size)
+    rows = rows.withColumn("block", F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))).withColumn("block", block * size)
     while True:
         # the string at offset o starts at byte ``high - o`` of ctx; a hull is that of the block's strings of this suffix
         near, far = F.greatest(low, block), F.least(high, block + (size - 1))

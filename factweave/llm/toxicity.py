@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm.common import documents
+from factweave.llm.common import documents, plain_words, shingle_hashes
+from factweave.plans.staging import stage
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Bounds of what is fitted on the driver: labelled rows, and tokens kept by their z-score.
@@ -90,13 +91,14 @@ def _karlin(scores: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
     return low, float(min(1.0, max((weights[scores > 0]).sum(), 1e-9)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic", min_z: float = 2.5, strength: float = 50.0, sample_rows: int = SAMPLE_ROWS, max_tokens: int = TOKENS) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic", alpha: float = 0.05, effect: float = 1.0, strength: float = 0.01, sample_rows: int = SAMPLE_ROWS, max_tokens: int = TOKENS) -> ToxicModel:
     """Token log-odds with an informative Dirichlet prior (Monroe et al., 2008), and the calibration of their segments.
 
     Learns from the labelled rows for which ``held_out``, a column over ``doc_id``, is false; if there are more than
-    ``sample_rows``, from a sample by hash of about that size. Counts of texts that hold a token are made by Spark; its prior is its share of all of them,
-    times ``strength``. A token whose log-odds have a z-score of ``min_z`` or more, or ``-min_z`` or less, keeps its
-    log-odds; at most ``max_tokens`` of these, the largest, come to the driver. All other tokens score a little below
+    ``sample_rows``, from a sample by hash of about that size; near copies among them count once. Counts of texts that
+    hold a token are made by Spark; its prior counts are ``strength`` times those it would have if it were neutral. A
+    token keeps its log-odds if they are ``effect`` or more, either way, and too rare by chance at level ``alpha`` over
+    all tokens; at most ``max_tokens`` of these, the surest, come to the driver. All other tokens score a little below
     zero, so that chance segments stay short. Repeats of a doc_id in ``labels`` count by their largest label.
     Without labels of both kinds no token scores, and every score is 0.5 or less.
     """
@@ -104,18 +106,26 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxi
     share = min(1.0, sample_rows / max(1, marked.count()))
     # a uniform hash of the id, so that the sample is the same in each pass; its size bounds what is broadcast
     sample = marked.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    train = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y")
+    found = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # copies and near copies mostly share the least of their shingles' hashes; one of them speaks for all
+    sketch = F.coalesce(F.array_min(shingle_hashes(plain_words(F.col("text")), 5)), F.xxhash64("text"))
+    single = stage(found.select("doc_id", "y", sketch.alias("sketch")).groupBy("sketch").agg(F.min(F.struct("doc_id", "y")).alias("one")).select("one.*").distinct(), "toxic-sample")
+    train = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(single), "doc_id").select("text", "y")
     rows = train.select("y", F.array_distinct(F.filter(F.split(F.lower("text"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")).alias("words"))
     counts = rows.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     totals = rows.agg(F.sum(F.col("y") * F.size("words")).alias("pos"), F.sum((1 - F.col("y")) * F.size("words")).alias("neg")).first()
     n1, n0 = float(totals["pos"] or 0), float(totals["neg"] or 0)
     if not n1 or not n0:
         return ToxicModel({}, -0.1, 1.0, 1.0, 1.0, -1.0)
-    prior = strength * (F.col("pos") + F.col("neg")) / (n1 + n0)
-    a, b = F.col("pos") + prior, F.col("neg") + prior
-    delta = F.log(a / (n1 + strength - a)) - F.log(b / (n0 + strength - b))
-    z = delta / F.sqrt(1 / a + 1 / b)
-    kept = counts.select("w", delta.alias("delta"), z.alias("z"), (F.col("pos") + F.col("neg")).alias("n")).where(F.abs("z") >= min_z).orderBy(F.abs("z").desc(), "w").limit(max_tokens).collect()
+    n, base = F.col("pos") + F.col("neg"), n1 / (n1 + n0)
+    prior = strength * n
+    a, b = F.col("pos") + prior, F.col("neg") + prior * (n0 / n1)
+    delta = F.log(a / b) + math.log(n0 / n1)
+    share = F.col("pos") / n
+    # Chernoff's bound on the chance of such a share among n texts, times the number of tokens
+    surprise = n * (F.when(share > 0, share * F.log(share / base)).otherwise(0.0) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0))
+    bar = math.log(max(1, counts.count()) / alpha)
+    kept = counts.select("w", delta.alias("delta"), surprise.alias("surprise"), n.alias("n")).where((F.col("surprise") >= bar) & (F.abs("delta") >= effect)).orderBy(F.col("surprise").desc(), "w").limit(max_tokens).collect()
     scores = {r["w"]: float(r["delta"]) for r in kept}
     mass = np.array([r["n"] for r in kept], float) / (n1 + n0)
     values = np.array([r["delta"] for r in kept], float)
