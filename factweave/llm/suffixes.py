@@ -108,8 +108,8 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     Suffixes are sampled (see ``sampled_suffixes``). Those with a unique key hold no repeat and go. For the others, in
     rounds, the strings at offsets back from the suffix are compared in blocks of 128, 64, ... 1 offsets: what all
     strings of a block have in common is its core, what the suffix's own cover together is its hull. If the core occurs
-    once, no string of the block is repeated; if the hull occurs again, all are; else the
-    block is halved. Equality is by 128-bit hashes. Each round is a count by hash, combined before the shuffle, and a
+    once, no string of the block is repeated; if the hull occurs again, all are, and one
+    suffix goes on for the rest; else the block is halved. Equality is by 128-bit hashes. Each round is a count by hash, combined before the shuffle, and a
     join, so a passage that many documents share never comes together in one task.
     """
     suffixes = stage(_suffix_table(docs), "suffixes")
@@ -144,15 +144,17 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
             "suffix-blocks",
         )
         by = ["core1", "core2", "hull1", "hull2"]
-        hulls = hashed.groupBy(*by).count()
-        cores = hulls.groupBy("core1", "core2").agg(F.sum("count").alias("n")).where("n > 1").drop("n")
-        left = stage(hashed.join(hulls.join(cores, ["core1", "core2"]), by).select(*columns, "count"), "suffix-blocks")
-        done = left.where("count > 1").select("tid", (F.col("at") - far).alias("a"), (F.col("at") - near + LENGTH).alias("b"))
+        hulls = hashed.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct("tid", "at")).alias("one"))
+        cores = hulls.groupBy("core1", "core2").agg(F.sum("n").alias("m")).where("m > 1").drop("m")
+        left = stage(hashed.join(hulls.join(cores, ["core1", "core2"]), by).select(*columns, "n", "one"), "suffix-blocks")
+        done = left.where("n > 1").select("tid", (F.col("at") - far).alias("a"), (F.col("at") - near + LENGTH).alias("b"))
         spans = done if spans is None else spans.unionByName(done)
         if size == 1:
             return spans
         size //= 2
-        rows = left.where("count = 1").drop("count").withColumn("block", F.explode(F.array(block, block + size)))
+        # of equal hulls one goes on, for others to be compared with
+        rows = left.where((F.col("n") == 1) | (F.struct("tid", "at") == F.col("one"))).select(*columns)
+        rows = rows.withColumn("block", F.explode(F.array(block, block + size)))
         rows = rows.where((block <= high) & (block + (size - 1) >= low))
 
 
