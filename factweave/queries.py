@@ -1,4 +1,521 @@
-"""The registered queries of the library and their SQL."""
+"""The registered queries of the library and their SQL. Each reads whole tables."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factweave.functions import scores, text
+from factweave.functions.extract import hash_embedding, number_facts
+from factweave.operators import answers, detect, evaluate, feedback, filters, pairs, report
+from factweave.plans import domain as d
+from factweave.plans.domain import DETECTIONS_SQL, EDGES_SQL, NODES_SQL, SIGNALS_SQL, table
+from factweave.plans.staging import shared_dir
+from factweave.sources import readers, sinks
+from factweave.streaming import feeds
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _joined(c: str, by: str = "|"):
+    return F.array_join(F.array_sort(c), by)
+
+
+def as_of():
+    return F.to_timestamp(F.lit("2020-01-01"))
+
+
+STOP = ", ".join(f"'{w}'" for w in text.KEYWORD_STOP + text.UNIT_STOP)
+TOKEN_STOP = ", ".join(f"'{w}'" for w in text.TOKEN_STOP)
+KEYWORDS_SQL = f"list_distinct(list_filter(regexp_split_to_array(lower({{c}}), '\\\\W+'), lambda w: len(w) > 2 and w not in ({STOP})))".replace("\\\\", "\\")
+
+
+# --- the audit ---------------------------------------------------------------------------------------------------
+@query()
+def audit(spark: SparkSession, sf: str) -> DataFrame:
+    """All detectors over the derived nodes and edges, counted by detector, kind and severity."""
+    found = detect.run_detectors(d.nodes(spark, sf), d.edges(spark, sf), as_of())
+    return found.groupBy("detector", "type", "severity").agg(F.count("*").alias("n"))
+
+
+# --- texts ---------------------------------------------------------------------------------------------------------
+@query(f"select doc_id, len({KEYWORDS_SQL.format(c='text')})::bigint as n_keywords from documents")
+def keyword_counts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(text.keywords(F.col("text"))).cast("long").alias("n_keywords"))
+
+
+@query(f"select word, count(*) as n from (select unnest({KEYWORDS_SQL.format(c='text')}) as word from documents) group by word")
+def keyword_documents(spark, sf):
+    return table(spark, sf, "documents").select(F.explode(text.keywords(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query(f"""select conv_id, turn, len(list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]+', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: len(w) >= 2 and w not in ({TOKEN_STOP}))))::bigint as n_tokens from conversations""")
+def turn_tokens(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.size(text.tokenize(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@query("select doc_id, md5(case when len(trim(text)) <= 500 then trim(text) else regexp_replace(substr(trim(text), 1, 500), '\\s+\\S*$', '') || '...' end) as snippet from documents")
+def snippets(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.snippet(F.col("text"))).alias("snippet"))
+
+
+@query("select doc_id, md5(regexp_replace(text, '([a-zA-Z0-9_.%+-])[a-zA-Z0-9_.%+-]*@([A-Za-z0-9.-]+\\.[A-Za-z]{2,})', '\\1***@\\2', 'g')) as redacted from documents")
+def redacted_emails(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.redact_emails(F.col("text"))).alias("redacted"))
+
+
+@query("""select doc_id, w * 1300 as char_offset, md5(trim(substr(text, (w * 1300 + 1)::int, 1500))) as body, (w * 1300 // 3000 + 1)::bigint as page_number
+from (select doc_id, text, unnest(range(0, (len(text) - 1) // 1300 + 1)) as w from documents where len(text) > 0) where trim(substr(text, (w * 1300 + 1)::int, 1500)) <> ''""")
+def window_chunks(spark, sf):
+    return readers.chunk_windows(table(spark, sf, "documents")).select("doc_id", "char_offset", F.md5("text").alias("body"), "page_number")
+
+
+@query()
+def markdown_chunks(spark, sf):
+    return readers.chunk_markdown(table(spark, sf, "documents")).select("doc_id", "ordinal", "heading", F.md5("text").alias("body"), "char_offset")
+
+
+_SENT = "list_slice(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: trim(regexp_replace(s, '\\n+', ' ', 'g'))), lambda s: len(s) > 20), 1, 3)"
+
+
+@query(f"select doc_id, md5(array_to_string({_SENT}, '|')) as facts from documents")
+def document_facts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(F.array_join(text.naive_facts(F.col("text")), "|")).alias("facts"))
+
+
+@query()
+def document_types(spark, sf):
+    return table(spark, sf, "documents").groupBy(text.doc_type(F.lit(""), F.col("text")).alias("doc_type")).agg(F.count("*").alias("n"))
+
+
+@query()
+def hash_vectors(spark, sf):
+    v = table(spark, sf, "conversations").select("conv_id", "turn", hash_embedding(F.col("text")).alias("v"))
+    return v.select("conv_id", "turn", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+
+
+@query("select doc_id, count(*) as n, min(value) as least from (select doc_id, unnest(regexp_extract_all(text, '([0-9]{1,15})\\s*(?:days?|users?|hours?)', 1))::double as value from documents) group by doc_id")
+def plain_number_facts(spark, sf):
+    """Numbers of days, users and hours in the documents."""
+    x = F.regexp_extract_all("text", F.lit(r"([0-9]{1,15})\s*(?:days?|users?|hours?)"), F.lit(1))
+    return table(spark, sf, "documents").select("doc_id", F.explode(x.cast("array<double>")).alias("value")).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("value").alias("least"))
+
+
+@query("select 'part-' || p_partkey as id, p_size::double as value, 'request' as unit from part")
+def number_units(spark, sf):
+    rows = d.nodes(spark, sf).select("id", F.explode(number_facts("raw")).alias("f"))
+    return rows.select("id", "f.value", "f.unit")
+
+
+# --- pages and threads -----------------------------------------------------------------------------------------------
+@query("select page_id, case when regexp_matches(html, '(?is)<title[^>]*>.*?</title>') then trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) else 'Untitled' end as title from pages")
+def page_titles(spark, sf):
+    return table(spark, sf, "pages").select("page_id", readers.html_title(F.col("html")).alias("title"))
+
+
+@query()
+def page_markdown(spark, sf):
+    return readers.pages_to_markdown(table(spark, sf, "pages")).select("page_id", "title", F.length("markdown").cast("long").alias("n_chars"))
+
+
+@query()
+def page_links(spark, sf):
+    return readers.extract_links(table(spark, sf, "pages"))
+
+
+@query("select conv_id::varchar as thread, count(*) - 1 as n_replies from conversations group by conv_id having count(*) > 2")
+def chat_threads(spark, sf):
+    t = readers.build_threads(d.messages(spark, sf))
+    return t.select(F.regexp_replace(F.split("thread", r"\.")[0], "^0+(?=.)", "").alias("thread"), "n_replies")
+
+
+@query("select 'user' as name, count(*) filter (where role = 'user') as turns from conversations")
+def thread_turns(spark, sf):
+    return table(spark, sf, "conversations").agg(F.count_if(F.col("role") == "user").alias("turns")).select(F.lit("user").alias("name"), "turns")
+
+
+@query("select 'general-' || lpad(conv_id::varchar, 10, '0') || '.000000' as id, count(*) - 1 as n_replies, count(distinct role) as n_people, sum(turn)::bigint as likes from conversations group by conv_id having count(*) > 2")
+def thread_documents(spark, sf):
+    users = table(spark, sf, "conversations").select(F.col("role").alias("user")).distinct().withColumn("name", F.initcap("user"))
+    docs = readers.threads_to_documents(readers.build_threads(d.messages(spark, sf)), users)
+    return docs.select("id", "n_replies", F.size("participants").cast("long").alias("n_people"), F.aggregate("reactions", F.lit(0).cast("long"), lambda a, r: a + r["n"]).alias("likes"))
+
+
+# --- detectors --------------------------------------------------------------------------------------------------------
+_TOPIC = "(a.source_id = b.source_id or len(list_intersect(a.tw, b.tw)) > 0 or len(list_intersect(a.kw, b.kw)) >= 4)"
+_PREP = f"{NODES_SQL}, prep as (select *, list_filter(regexp_split_to_array(lower(title), '\\W+'), lambda w: len(w) > 3) as tw, {KEYWORDS_SQL.format(c='raw')} as kw from nodes)"
+
+
+@query(f"""with {_PREP} select a.id as a, b.id as b, 'request' as unit, a.p_size::double as value_a, b.p_size::double as value_b
+from prep a join prep b on a.ord < b.ord where a.source_id <> b.source_id and a.p_size <> b.p_size and len(list_intersect(a.kw, b.kw)) >= 2 and {_TOPIC}
+and not (len('the ' || a.title || ' is owned by the ' || replace(a.e2, '#', ' ') || ' team') > 20 and a.title = b.title and a.e2 = b.e2) and not (a.ord % 3 <> 2 and a.ord % 3 = b.ord % 3)""")
+def number_conflicts(spark, sf):
+    return pairs.number_contradictions(d.nodes(spark, sf))
+
+
+@query(f"""with {_PREP} select a.id as a, b.id as b from prep a join prep b on a.ord < b.ord
+where ((a.ord % 3 = 0 and b.ord % 3 = 1) or (a.ord % 3 = 1 and b.ord % 3 = 0)) and a.source_id <> b.source_id and {_TOPIC}
+and not (a.title = b.title and a.e2 = b.e2) and not (a.title = b.title and a.e3 = b.e3 and a.e2 = b.e2 and a.p_size = b.p_size)""")
+def policy_conflicts(spark, sf):
+    return pairs.policy_contradictions(d.nodes(spark, sf)).select("a", "b")
+
+
+@query(f"""with {NODES_SQL} select a.id as a, b.id as b, case when a.e1 = b.e1 then a.e1 else a.e3 end as entity, replace(a.e2, '#', ' ') as owner_a, replace(b.e2, '#', ' ') as owner_b
+from nodes a join nodes b on a.ord < b.ord and a.e2 <> b.e2 and (a.e1 = b.e1 or (a.e3 = b.e3 and contains(a.e1, a.e3) and contains(b.e1, b.e3)))""")
+def owner_conflicts(spark, sf):
+    return pairs.ownership_conflicts(d.nodes(spark, sf))
+
+
+@query(f"with {NODES_SQL}, e as (select unnest([e1, e2, e3]) as entity from nodes) select entity from e group by entity having count(*) > 0.3 * (select count(*) from nodes)")
+def frequent_entities(spark, sf):
+    return pairs.high_freq_entities(d.nodes(spark, sf))
+
+
+@query(f"""with {EDGES_SQL} select source_id as a, target_id as b, case when confidence >= 0.8 then 'critical' else 'warning' end as severity from edges where type = 'contradicts'""")
+def told_contradictions(spark, sf):
+    return pairs.edge_contradictions(d.nodes(spark, sf), d.edges(spark, sf))
+
+
+@query(f"with {EDGES_SQL} select target_id as older, array_to_string(list(source_id order by newer_key), '|') as newer, count(*) as n_newer from edges where type = 'supersedes' and created_at > timestamp '2020-01-01' group by target_id")
+def stale(spark, sf):
+    return detect.stale_nodes(d.nodes(spark, sf), d.edges(spark, sf)).select("older", F.array_join("newer", "|").alias("newer"), "n_newer")
+
+
+def _orders(spark, sf, body):
+    o = table(spark, sf, "orders").select("o_orderkey", F.add_months("o_orderdate", 120).alias("day"))
+    none = F.array().cast("array<string>")
+    return o.select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderkey").alias("ord"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), F.lit("").alias("summary"), none.alias("facts"), body(F.col("day")).alias("raw"), F.lit("general").alias("doc_type"))
+
+
+def _at():
+    return F.to_timestamp(F.lit("2008-01-01"))
+
+
+
+@query("""select 'order-' || o_orderkey as id, 'Last updated: ' || strftime(day, '%Y-%m') as label, floor(date_diff('day', date_trunc('month', day), date '2008-01-01') / 30.0 + 0.5)::bigint as months_ago
+from (select o_orderkey, (o_orderdate + interval 120 month)::date as day from orders) where date_diff('day', date_trunc('month', day), date '2008-01-01') > 180""")
+def old_references(spark, sf):
+    rows = _orders(spark, sf, lambda x: F.concat(F.lit("Last updated: "), F.date_format(x, "yyyy-MM")))
+    return detect.dated_references(rows, d.edges(spark, sf).limit(0), _at())
+
+
+@query("""with x as (select o_orderkey, (o_orderdate + interval 120 month)::date as day from orders), y as (select 'by ' || strftime(day, '%B %Y') as label, last_day(day) as e, o_orderkey from x)
+select label, case when any_value(e) < date '2008-01-01' then 'warning' when any_value(e) <= date '2008-01-30' then 'warning' else 'info' end as severity, any_value(e) < date '2008-01-01' as expired, count(*) as n_documents from y group by label""")
+def deadlines_by_label(spark, sf):
+    rows = _orders(spark, sf, lambda x: F.concat(F.lit("Must ship by "), F.date_format(x, "MMMM yyyy"), F.lit(".")))
+    return detect.time_bombs(rows, _at(), limit=None).select("label", "severity", "expired", "n_documents")
+
+
+@query()
+def similar_topics(spark, sf):
+    """How many pairs of parts are on one topic, by source."""
+    met = pairs.same_topic_pairs(d.nodes(spark, sf))
+    return met.join(d.nodes(spark, sf).select(F.col("id").alias("a"), "source_id"), "a").groupBy("source_id").agg(F.count("*").alias("n"))
+
+
+@query(f"with {NODES_SQL} select least(a.id, b.id) as a, greatest(a.id, b.id) as b, 3::int as shared from nodes a join nodes b on a.ord < b.ord and a.e1 = b.e1 and a.e2 = b.e2 and a.e3 = b.e3")
+def same_entities(spark, sf):
+    rows = d.nodes(spark, sf).select("id", F.transform("entities", lambda e: F.lower(e["name"])).alias("tokens"))
+    return pairs.overlap_pairs(rows, 3)
+
+
+@query()
+def entity_groups(spark, sf):
+    return detect.entity_clusters(d.nodes(spark, sf)).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query()
+def packages(spark, sf):
+    return detect.context_packages(d.nodes(spark, sf), d.edges(spark, sf)).select("package", F.size("node_ids").cast("long").alias("n_nodes"), F.size("edge_ids").cast("long").alias("n_edges"), "topic")
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("vec_id").alias("ord"), "embedding", F.lit("slack").alias("source_type"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("title"), F.array(F.concat(F.lit("fact "), F.col("vec_id").cast("string"))).alias("facts"))
+
+
+@query("""select id, other, round(s, 5) as similarity from (select a.vec_id::varchar as id, b.vec_id::varchar as other, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s,
+row_number() over (partition by a.vec_id order by list_cosine_similarity(a.embedding::double[], b.embedding::double[]) desc) as k from embeddings a, embeddings b) where k <= 5 and s >= 0.5""")
+def nearest_vectors(spark, sf):
+    return pairs.knn(_vectors(spark, sf), 5, 0.5).select("id", "other", F.round("similarity", 5).alias("similarity"))
+
+
+@query()
+def vector_clusters(spark, sf):
+    return detect.chat_clusters(_vectors(spark, sf), 0.64).select("cluster", "n", "severity")
+
+
+@query()
+def undocumented(spark, sf):
+    docs = d.nodes(spark, sf).where("source_type = 'md'")
+    return detect.undocumented_topics(detect.chat_clusters(_vectors(spark, sf), 0.64), docs).select("cluster", "n")
+
+
+# --- reports ------------------------------------------------------------------------------------------------------------
+_COUNTS = "count(*) filter (where severity = 'critical') as critical, count(*) filter (where severity = 'warning') as warning, count(*) filter (where severity = 'info') as info"
+
+
+@query(f"""with {DETECTIONS_SQL}, c as (select type, {_COUNTS} from detections group by type)
+select *, greatest(0, least(100, 100 - 15 * critical - 5 * warning - info))::bigint as linear, floor(100 * exp(-0.08::double * critical - 0.02::double * warning - 0.005::double * info) + 0.5)::bigint as exponential,
+greatest(0, least(100, 100 - least(10 * critical, 50) - least(3 * least(warning, 5) + greatest(warning - 5, 0), 25)))::bigint as capped from c""")
+def scores_by_type(spark, sf):
+    return report.score(d.detections(spark, sf), "type")
+
+
+@query(f"with {DETECTIONS_SQL} select type, severity, count(*) as n from detections group by type, severity")
+def detection_counts(spark, sf):
+    return report.detection_counts(d.detections(spark, sf))
+
+
+@query(f"""with {DETECTIONS_SQL}, c as (select coalesce(count(*) filter (where severity = 'critical' and type in ('contradiction', 'duplicate')), 0) as cc, count(*) filter (where severity = 'warning' and type in ('contradiction', 'duplicate')) as cw,
+count(*) filter (where severity = 'critical' and type in ('staleness', 'time_bomb')) as fc, count(*) filter (where severity = 'warning' and type in ('staleness', 'time_bomb')) as fw,
+count(*) filter (where severity = 'critical' and type = 'undocumented') as vc, count(*) filter (where severity = 'warning' and type = 'undocumented') as vw from detections),
+h as (select greatest(0, 100 - 15 * cc - 5 * cw)::bigint as consistency, greatest(0, 100 - 15 * fc - 5 * fw)::bigint as freshness, 100::bigint as ownership, greatest(0, 100 - 15 * vc - 5 * vw)::bigint as coverage from c)
+select floor(0.35 * consistency + 0.25 * freshness + 0.2 * ownership + 0.2 * coverage + 0.5)::bigint as overall, * from h""")
+def health(spark, sf):
+    return report.health_from_detections(d.detections(spark, sf))
+
+
+@query(f"""with {DETECTIONS_SQL} select node_id, count(*) as n, array_to_string(list_sort(list(distinct type)), '|') as types, case when bool_or(severity = 'critical') then 'high' when count(*) >= 3 then 'medium' else 'low' end as risk
+from (select unnest(node_ids) as node_id, type, severity from detections) group by node_id having count(*) >= 2""")
+def risks(spark, sf):
+    return report.risk_register(d.detections(spark, sf), None).withColumn("types", F.array_join("types", "|"))
+
+
+@query(f"""with {DETECTIONS_SQL}, c as (select corpus, run_at, {_COUNTS} from detections group by corpus, run_at), s as (select *, greatest(0, least(100, 100 - 15 * critical - 5 * warning - info))::bigint as score from c)
+select corpus, run_at, score, lag(score) over w as previous, score - lag(score) over w as delta, case when critical > 0 then 'critical' end as failed_on, score >= 10 and critical = 0 as passed from s window w as (partition by corpus order by run_at)""")
+def ci_gate(spark, sf):
+    return report.ci_report(d.detections(spark, sf), 10, "critical")
+
+
+@query(f"""with {DETECTIONS_SQL}, f as (select type || '::' || array_to_string(list_sort(node_ids), ',') as f, run_at from detections), a as (select f from f where run_at = 1996), b as (select f from f where run_at = 1997)
+select 'added' as status, count(*) as n from b where f not in (select f from a) union all select 'removed', count(*) from a where f not in (select f from b)""")
+def run_diff(spark, sf):
+    x = d.detections(spark, sf)
+    diff = report.diff_runs(x.where("run_at = 1996"), x.where("run_at = 1997")).groupBy("status").agg(F.count("*").alias("n"))
+    return diff.where("status <> 'unchanged'")
+
+
+@query(f"with {DETECTIONS_SQL} select node_ids[1] as a, node_ids[2] as b, severity from detections where type = 'contradiction'")
+def contradiction_edges(spark, sf):
+    return report.contradiction_graph(d.detections(spark, sf))[1]
+
+
+@query(f"with {DETECTIONS_SQL} select ord, type, severity from detections where not (type = 'duplicate' or (description like '%status f%') or lower(description) like '%status p%')")
+def kept_detections(spark, sf):
+    rules = filters.parse_rules(spark.createDataFrame([("# old",), ("type:duplicate",), ("text:status p",), ("node:x9 type:staleness",)], "line string"))
+    return filters.apply_ignore_rules(d.detections(spark, sf), rules).select("ord", "type", "severity")
+
+
+@query(f"with {DETECTIONS_SQL} select severity = 'info' as auto_resolvable, count(*) as n from detections group by 1")
+def auto_resolvable(spark, sf):
+    return filters.split_auto_resolvable(d.detections(spark, sf)).groupBy("auto_resolvable").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {DETECTIONS_SQL} select ord, severity from (select ord, severity, row_number() over (partition by severity order by ord) as k from detections) where k <= 5""")
+def first_of_severity(spark, sf):
+    return filters.top_per_severity(d.detections(spark, sf)).select("ord", "severity")
+
+
+# --- feedback -----------------------------------------------------------------------------------------------------------
+_REP = f"""{SIGNALS_SQL}, c as (select user_id, count(*) as total, count(*) filter (where signal_type = 'corrected') as corrected, count(*) filter (where signal_type = 'shared') as shared, count(*) filter (where signal_type = 'rejected') as rejected, count(*) filter (where signal_type = 'escalated') as escalated from signals group by user_id),
+rep as (select user_id, total, corrected, greatest(0.0::double, least(1.0::double, (2 * corrected + shared - rejected - escalated)::double / (total + 10))) as score from c)"""
+
+
+@query(f"with {_REP} select *, case when score >= 0.8 then 'trusted' when score >= 0.4 then 'normal' else 'low' end as standing from rep")
+def user_reputation(spark, sf):
+    return feedback.reputation(d.signals(spark, sf))
+
+
+@query("with " + SIGNALS_SQL + " select user_id, " + ", ".join(f"count(*) filter (where signal_type = '{s}') as {s}" for s in scores.SIGNALS) + " from signals group by user_id")
+def signals_by_type(spark, sf):
+    return feedback.signal_counts(d.signals(spark, sf))
+
+
+@query(f"""with {SIGNALS_SQL}, c as (select * from signals where signal_type = 'corrected') select a.id as a, b.id as b, a.node as nodes from c a join c b on a.node = b.node and a.id < b.id and a.user_id <> b.user_id and a.correction_text <> b.correction_text""")
+def correction_conflicts(spark, sf):
+    return feedback.conflicting_corrections(d.signals(spark, sf)).select("a", "b", F.array_join("shared_nodes", "|").alias("nodes"))
+
+
+@query(f"with {SIGNALS_SQL} select id, user_id from (select *, row_number() over (partition by user_id order by created_at desc, id) as k from signals) where k <= 100")
+def last_signals(spark, sf):
+    return feedback.recent_signals(d.signals(spark, sf)).select("id", "user_id")
+
+
+def _corrections(spark, sf):
+    s = d.signals(spark, sf).where("signal_type = 'corrected'")
+    return s.select("id", "user_id", F.concat(F.lit("What of "), F.element_at("question_node_ids", 1), F.lit("?")).alias("original_question"), F.lit("use 0").alias("original_answer"), F.col("correction_text").alias("corrected_answer"), "created_at")
+
+
+_PAIRS = f"""{_REP}, p as (select s.id, 'What of ' || node || '?' as prompt, correction_text as chosen, 'use 0' as rejected, case when score >= 0.8 then 1.0::double else 0.6::double end as confidence, created_at
+from signals s join rep using (user_id) where signal_type = 'corrected' and score >= 0.4 and trim(correction_text) <> 'use 0')"""
+
+
+@query(f"with {_PAIRS} select id, prompt, chosen, rejected, confidence from p")
+def preference_pairs(spark, sf):
+    return feedback.corrections_to_pairs(_corrections(spark, sf), feedback.reputation(d.signals(spark, sf))).drop("created_at")
+
+
+@query(f"""with {_PAIRS} select json_object('prompt', prompt, 'chosen', chosen, 'rejected', rejected)::varchar as line from p""")
+def dpo_lines(spark, sf):
+    return sinks.export_dpo(preference_pairs(spark, sf))
+
+
+@query(f"with {_PAIRS} select field, issue, count(*) as n from (select id, 'source_node_ids' as field, 'no sources' as issue from p) group by field, issue")
+def pair_quality(spark, sf):
+    rows = preference_pairs(spark, sf).withColumn("source_node_ids", F.array().cast("array<string>"))
+    return filters.pair_issues(rows).groupBy("field", "issue").agg(F.count("*").alias("n"))
+
+
+@query(f"with {SIGNALS_SQL} select signal_type, " + "round(sum(case signal_type " + " ".join(f"when '{k}' then {v[1]}" for k, v in scores.SIGNALS.items()) + " end)::double * 0.5::double, 6) as total from signals group by signal_type")
+def rewards(spark, sf):
+    return d.signals(spark, sf).select("signal_type", scores.reward(F.col("signal_type"), F.lit(0.5)).alias("r")).groupBy("signal_type").agg(F.round(F.sum("r.value"), 6).alias("total"))
+
+
+@query(f"with {_PAIRS} select count(*) as new_pairs, count(*) >= 50 as train from p where created_at > timestamp '2024-01-10'")
+def retrain(spark, sf):
+    p = feedback.corrections_to_pairs(_corrections(spark, sf), feedback.reputation(d.signals(spark, sf)))
+    history = d.signals(spark, sf).agg(F.max("created_at")).select(F.to_timestamp(F.lit("2024-01-10")).alias("trained_at"))
+    return feedback.retrain_decision(p, history, F.to_timestamp(F.lit("2024-02-01"))).select("new_pairs", F.col("new_pairs").__ge__(50).alias("train"))
+
+
+def _streamed(spark, sf, make):
+    name = f"s_{uuid.uuid4().hex}"
+    raw = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    raw.createOrReplaceTempView(f"{name}_raw")
+    return make(raw, f"{shared_dir(spark)}/{name}")
+
+
+@query(f"with {_REP} select user_id, total, corrected, score from rep")
+def reputation_streaming(spark, sf):
+    """The reputation over the event log as a stream, its last state of each user."""
+
+    def make(raw, path):
+        e = raw.withColumn("signal_type", F.element_at(F.create_map(*[F.lit(x) for kv in {"purchase": "corrected", "signup": "shared", "error": "rejected", "view": "accepted", "click": "escalated"}.items() for x in kv]), F.col("event_type")))
+        s = e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("user_id"), "signal_type", F.col("ts").cast("timestamp").alias("created_at"))
+
+        def keep(batch, n):
+            batch.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{path}/out/n={n}x")
+
+        q = feeds.reputation_stream(s).writeStream.outputMode("update").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).foreachBatch(keep).start()
+        q.awaitTermination()
+        return evaluate.latest(spark.read.parquet(f"{path}/out/*"), "user_id", "n").select("user_id", "total", "corrected", "score")
+
+    return _streamed(spark, sf, make)
+
+
+# --- evaluation -----------------------------------------------------------------------------------------------------------
+@query("""with e as (select doc_id from labels where quality = 0), t as (select doc_id from labels where toxic = 1), c as (select (select count(*) from e join t using (doc_id)) as tp, (select count(*) from t where doc_id not in (select doc_id from e)) as fp, (select count(*) from e where doc_id not in (select doc_id from t)) as fn)
+select tp, fp, fn, round(tp / (tp + fp), 9) as precision, round(tp / (tp + fn), 9) as recall from c""")
+def label_metrics(spark, sf):
+    rows = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    m = evaluate.id_metrics(rows.where("quality = 0"), rows.where("toxic = 1"), rows)
+    return m.select("tp", "fp", "fn", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+@query(f"""with {EDGES_SQL}, s as (select distinct least(source_id, target_id) || ':' || greatest(source_id, target_id) as k from edges where type = 'supersedes'), c as (select distinct least(source_id, target_id) || ':' || greatest(source_id, target_id) as k from edges where type = 'contradicts')
+select (select count(*) from c where k in (select k from s)) as tp, (select count(*) from s where k not in (select k from c)) as fn""")
+def edge_metrics(spark, sf):
+    e = d.edges(spark, sf).select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "type")
+    return evaluate.pair_metrics(e.where("type = 'contradicts'"), e.where("type = 'supersedes'").withColumn("positive", F.lit(True))).select("tp", "fn")
+
+
+def _scores(spark, sf):
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("expected_answer"))
+    b = table(spark, sf, "benchmark").select("item_id", F.explode(F.array(F.struct(F.lit("whole").alias("m"), F.col("text").alias("t")), F.struct(F.lit("half").alias("m"), F.expr("substring(text, 1, cast(length(text) div 2 as int))").alias("t")))).alias("x"))
+    return evaluate.score_answers(items, b.select("item_id", F.col("x.m").alias("model_id"), F.col("x.t").alias("model_answer")))
+
+
+_WORDS = "list_filter(regexp_split_to_array(lower({c}), '\\W+'), lambda w: len(w) > 2)"
+_ACC = f"""a as (select item_id, text, unnest(['whole', 'half']) as model_id, unnest([text, substr(text, 1, len(text) // 2)]) as answer from benchmark), b as (select item_id, model_id, {_WORDS.format(c='text')} as e, {_WORDS.format(c='answer')} as g from a),
+sc as (select item_id, model_id, case when len(e) = 0 then 1.0::double else len(list_filter(e, lambda w: list_contains(g, w)))::double / len(e) end as accuracy from b)"""
+
+
+@query(f"with {_ACC} select model_id, count(*) as items, round(avg(accuracy), 9) as accuracy from sc group by model_id")
+def model_scores(spark, sf):
+    return evaluate.eval_result(_scores(spark, sf)).select("model_id", "items", F.round("accuracy", 9).alias("accuracy"))
+
+
+@query(f"with {_ACC} select a.item_id, case when a.accuracy > b.accuracy then 'whole' when a.accuracy < b.accuracy then 'half' else 'tie' end as winner from sc a join sc b using (item_id) where a.model_id = 'whole' and b.model_id = 'half'")
+def head_to_head(spark, sf):
+    return evaluate.head_to_head(_scores(spark, sf), "whole", "half").select("item_id", "winner")
+
+
+@query("select 'whole' as winner, 0::bigint as n_regressions")
+def gate(spark, sf):
+    return evaluate.model_gate(evaluate.eval_result(_scores(spark, sf)), "half", "whole").select("winner", F.size("regressions").cast("long").alias("n_regressions"))
+
+
+@query()
+def lcs_scores(spark, sf):
+    b = table(spark, sf, "benchmark")
+    return b.select("item_id", F.round(scores.lcs_f1(F.col("text"), F.expr("substring(text, 1, cast(length(text) div 2 as int))")), 6).alias("f1"))
+
+
+@query()
+def dataset_split(spark, sf):
+    return evaluate.split_dataset(table(spark, sf, "documents").select("doc_id"), "doc_id").groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("with recursive v as (select p_partkey as k, p_partkey // 2 as p from part), up(k, p, depth) as (select k, p, 0 from v where k = (select max(k) from v) union all select v.k, v.p, depth + 1 from v join up on v.k = up.p where up.k <> up.p and depth < 100) select k::varchar as version_id, min(depth) as depth from up group by k")
+def version_lineage(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("version_id"), F.when(F.col("p_partkey") > 0, F.floor(F.col("p_partkey") / 2).cast("string")).alias("parent_id"))
+    last = table(spark, sf, "part").agg(F.max("p_partkey")).first()[0]
+    return evaluate.lineage(p, str(last))
+
+
+@query(f"with {NODES_SQL} select 'node' as kind, count(*) as n from nodes")
+def export_kinds(spark, sf):
+    lines = sinks.export_nodes(d.nodes(spark, sf)).select(F.lit("x").alias("path"), F.lit(1).alias("line_no"), "line")
+    return evaluate.classify_lines(lines).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("select o_custkey as id, max(o_orderdate) as last_seen from orders where o_orderkey % 2 = 1 or true group by o_custkey")
+def upserted(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("last_seen"), "o_orderkey")
+    return readers.upsert(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "id", "last_seen").select("id", "last_seen")
+
+
+@query("""with l as (select o_custkey as id, o_orderstatus as s from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, case when o_orderstatus = 'F' then 'delete' else 'upsert' end, o_orderkey) as k from orders) where k = 1)
+select c_custkey as id from customer where c_custkey not in (select id from l where s = 'F')""")
+def changed_customers(spark, sf):
+    base = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "delete").otherwise("upsert").alias("action"), F.col("o_orderdate").alias("changed_at"))
+    return feeds.apply_changes(base, o)
+
+
+@query("select o_orderstatus as connector, max(o_orderdate) as cursor from orders group by o_orderstatus")
+def cursors(spark, sf):
+    return feeds.next_cursor(table(spark, sf, "orders").select(F.col("o_orderstatus").alias("connector"), F.col("o_orderdate").alias("last_modified")))
+
+
+@query("select date_trunc('hour', ts) as hour, event_type, count(*) as n from events group by all")
+def hourly_events(spark, sf):
+    e = table(spark, sf, "events").select(F.col("ts").alias("created_at"), F.col("event_type").alias("signal_type"))
+    return feeds.windowed_counts(e).select(F.col("window.start").alias("hour"), F.col("signal_type").alias("event_type"), "n")
+
+
+@query("select count(*) as documents, ceil(sum(len(text)) / 4)::bigint as tokens from documents")
+def corpus_tokens(spark, sf):
+    return answers.corpus_size(table(spark, sf, "documents"))
+
+
+@query(f"with {NODES_SQL} select id, round(0.4 * 0.5 + 0.3 * 0.5 + 0.3 * pow(0.5::double, p_size / 180.0::double), 9) as authority from nodes")
+def node_authority(spark, sf):
+    now = F.timestamp_seconds(F.lit(1_600_000_000))
+    seen = F.timestamp_seconds(F.lit(1_600_000_000) - F.round(F.col("confidence") * 50).cast("long") * 86400)
+    return d.nodes(spark, sf).select("id", F.round(scores.authority(F.lit(None).cast("string"), F.lit("md"), seen, now), 9).alias("authority"))
