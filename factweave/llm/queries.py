@@ -8,6 +8,7 @@ from factweave.llm.licenses import op10_license_scan
 from factweave.llm.lines import op6_line_dedup
 from factweave.llm.mixing import ORACLE_OP1, op1_mix_sources
 from factweave.llm.neardup import op8_near_duplicates
+from factweave.llm.search import op4_search
 from factweave.llm.secrets import op3_secret_spans
 from factweave.llm.suffixes import op9_suffix_dedup
 from factweave.llm.toxicity import op7_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_decontaminate": op2_decontaminate,
     "op3_secret_spans": op3_secret_spans,
+    "op4_search": op4_search,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_toxicity": op7_toxicity,
