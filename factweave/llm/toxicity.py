@@ -108,8 +108,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxi
     sample = marked.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     found = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     # copies and near copies mostly share the least of their shingles' hashes; one of them speaks for all
-    sketch = F.coalesce(F.array_min(shingle_hashes(plain_words(F.col("text")), 5)), F.xxhash64("text"))
-    single = stage(found.select("doc_id", "y", sketch.alias("sketch")).groupBy("sketch").agg(F.min(F.struct("doc_id", "y")).alias("one")).select("one.*").distinct(), "toxic-sample")
+    # (the words are a column of their own, or each shingle would make them again)
+    worded = found.select("doc_id", "y", F.xxhash64("text").alias("own"), plain_words(F.col("text")).alias("words"))
+    sketch = F.coalesce(F.array_min(shingle_hashes(F.col("words"), 5)), "own")
+    single = stage(worded.select("doc_id", "y", sketch.alias("sketch")).groupBy("sketch").agg(F.min(F.struct("doc_id", "y")).alias("one")).select("one.*").distinct(), "toxic-sample")
     train = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(single), "doc_id").select("text", "y")
     rows = train.select("y", F.array_distinct(F.filter(F.split(F.lower("text"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")).alias("words"))
     counts = rows.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
