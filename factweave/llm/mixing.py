@@ -61,7 +61,7 @@ def class_rates(classes: DataFrame, targets: DataFrame, cap: float = 2.0) -> Dat
         .withColumn("units", (16 + F.col("cls")) * F.col("words"))
         .withColumn("given", F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("units_left", F.sum("units").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-        .withColumn("c", (F.col("target") - cap * F.col("given")) / (F.col("units_left") / 16.0))
+        .withColumn("c", F.try_divide(F.col("target") - cap * F.col("given"), F.col("units_left") / 16.0))
     )
     of_source = Window.partitionBy("skey")
     c = F.max(F.when(F.col("c") * F.col("weight") <= cap, F.struct("cls", "c"))).over(of_source)["c"]
