@@ -154,7 +154,7 @@ def headline(topic: Column, description: Column) -> Column:
 def snippet(c: Column, n: int = 500) -> Column:
     """Trimmed and cut at ``n`` characters, without a broken last word, with dots."""
     t = F.trim(_text(c))
-    return F.when(F.length(t) <= n, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, n), r"\s+\S*$", ""), F.lit("...")))
+    return F.when(F.length(t) <= n, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, n), r"\s+\S*\z", ""), F.lit("...")))
 
 
 def redact_emails(c: Column) -> Column:
