@@ -151,7 +151,8 @@ def _neighbours(right: bool, edges: bool):
     """Compares each row of ``ROW``, sorted by what follows (``right``) or precedes it, with the next of its key.
 
     Gives ``t1, t2, place, lo, hi, bound`` for both rows of a pair: the offsets at which their strings are equal, and the
-    bytes shared on the sorted side. With ``edges`` also the first and last row of the partition, with its number.
+    bytes shared on the sorted side. With ``edges`` also the first and last row of the partition, with its number; a
+    partition of one row gives it once, so that it doesn't meet itself.
     """
     schema = ["t1", "t2", "place", "lo", "hi", "bound", "part", "key", "low", "high", "ctx"]
 
@@ -178,7 +179,7 @@ def _neighbours(right: bool, edges: bool):
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
+        held, several = None, False
         for batch in batches:
             for at in range(0, batch.num_rows, 20_000):
                 piece = batch.slice(at, 20_000)
@@ -188,8 +189,9 @@ def _neighbours(right: bool, edges: bool):
                 rows = rows if held is None else [held, *rows]
                 if len(rows) > 1 and (got := pairs(rows)) is not None:
                     yield got
+                several |= len(rows) > 1
                 held = rows[-1]
-        if held is not None and edges:
+        if several and edges:
             yield edge(held, 1)
 
     return run
@@ -209,7 +211,7 @@ def _sorted_pairs(rows: DataFrame, right: bool) -> DataFrame:
     order = ["key", "side", "t1", "place"]
     dealt = rows.withColumn("side", side).repartitionByRange(n, *order).sortWithinPartitions(*order).drop("side")
     found = stage(dealt.select(*[x.split()[0] for x in ROW.split(", ")]).mapInArrow(_neighbours(right, True), PAIR), "suffix-pairs")
-    # two rows a range
+    # at most two rows a range
     ends = found.where("part is not null").repartition(1).sortWithinPartitions("part").select(*[x.split()[0] for x in ROW.split(", ")])
     across = ends.mapInArrow(_neighbours(right, False), PAIR)
     return found.where("part is null").unionByName(across).select("t1", "t2", "place", "lo", "hi", "bound", F.lit(right).alias("right"))

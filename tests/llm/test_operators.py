@@ -266,6 +266,18 @@ def test_suffixes(spark):
     assert [got[i] for i in range(len(texts))] == brute_suffixes(texts)
 
 
+def test_suffixes_in_ranges_of_one_row(spark):
+    inner = prose(60, 90)[:260]
+    texts = [prose(80, 91) + inner + prose(80, 92), prose(80, 93) + inner + prose(80, 94), prose(90, 95)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffixes.dedup_suffixes(frame(spark, texts)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [got[i] for i in range(len(texts))] == brute_suffixes(texts)
+
+
 def test_licenses(spark):
     texts = ["Licensed under CC BY-NC 4.0. All rights reserved.", "SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) OR MIT\ncode", "cc by cc by", "GNU General\nPublic  License", None]
     got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, texts)).collect()}
