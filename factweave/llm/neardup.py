@@ -8,16 +8,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factweave.llm.common import documents
+from factweave.llm.spans import broadcast_if
 from factweave.operators.graph import connected_components
 from factweave.plans.staging import stage
 
 SEED = 42
 #: Groups up to this size are compared pair by pair in one task; larger ones are indexed again by their other bits.
 GROUP = 2048
+#: Names of texts that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -199,14 +202,15 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
     return prints.join(members, "fp").select("doc_id", "text_hash", "fp", "group_fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, k: int = 5, radius: int = 3) -> DataFrame:
+def _keep_first(docs: DataFrame, classes: DataFrame, column: str) -> DataFrame:
     """``docs`` without all but one document of each class: the row with the smallest doc_id stays.
 
-    Of rows that share that id the one with the smallest hash of its text stays, and of rows that repeat both one. All
-    columns are returned, whatever they are called. A class of documents without an id keeps one row too.
+    ``classes`` has ``doc_id``, ``text_hash`` and the class in ``column`` of each row. Of rows that share that id the one
+    with the smallest hash of its text stays, and of rows that repeat both one. All columns are returned, whatever they
+    are called. A class of documents without an id keeps one row too.
     """
-    found = stage(near_duplicates(docs, k, radius).withColumn("rank", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")), "simhash-members")
-    best = found.groupBy("group_fp").agg(F.min("rank").alias("rank")).select("rank.*")
+    found = stage(classes.withColumn("rank", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")), "near-members")
+    best = found.groupBy(column).agg(F.min("rank").alias("rank")).select("rank.*")
     repeated = found.groupBy("doc_id", "text_hash").count().where("count > 1")
     kept = best.select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash"))
     same = F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__text_hash") == F.col("__kept_hash"))
@@ -219,6 +223,115 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, radius: int = 3) -> DataFr
     return once.unionByName(twice).drop("__text_hash")
 
 
+def drop_near_duplicates(docs: DataFrame, k: int = 5, radius: int = 3) -> DataFrame:
+    """``docs`` without all but one document of each class of fingerprints; see ``near_duplicates`` and ``_keep_first``."""
+    return _keep_first(docs, near_duplicates(docs, k, radius), "group_fp")
+
+
+def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the ``k``-word shingles of a text; words as in ``fingerprint``."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    h = xxhash.xxh3_64_intdigest
+    if len(words) <= k:
+        return np.array([h(b" ".join(words))] if words else [], np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.r_[0, ends[:-1]].tolist()
+    return np.unique(np.array([h(joined[a:b]) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=False)], np.uint64))
+
+
+#: Bands and rows of the MinHash: two sets of similarity s share a band with probability 1 - (1 - s ** ROWS) ** BANDS,
+#: which is 1 - 3e-6 at 0.8.
+BANDS, ROWS = 32, 5
+_FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band of ``ROWS`` minima of a set of shingle hashes, as signed longs; none for the empty set."""
+    if not len(shingles):
+        return np.empty(0, np.int64)
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 4096):
+        x = shingles[at : at + 4096, None]
+        x = (x ^ (x >> np.uint64(29))) * _FACTORS
+        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0))
+    rows, h = np.ascontiguousarray(least.reshape(BANDS, ROWS)), xxhash.xxh3_64_intdigest
+    return np.array([h(rows[b].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64)
+
+
+def _sets(docs: DataFrame, k: int, whole: bool) -> DataFrame:
+    """``doc_id, text_hash, s1, s2`` and, with ``whole``, the bytes of a row's set of shingles, else the ``keys`` of its bands.
+
+    ``s1`` and ``s2`` are two hashes that name the set.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    last, of = ("shingles binary", pa.binary()) if whole else ("keys array<long>", pa.list_(pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sets = [shingle_set(t.as_py(), k) for t in part.column(2)]
+                name = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), np.int64).reshape(-1, 2)
+                values = pa.array([s.tobytes() if whole else band_keys(s) for s in sets], of)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(name[:, 0]), pa.array(name[:, 1]), values], ["doc_id", "text_hash", "s1", "s2", last.split(" ")[0]])
+
+    return docs.select("doc_id", _text_hash().alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, s1 long, s2 long, {last}").withColumn("name", F.struct("s1", "s2"))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``u, v`` of the pairs whose sets have a Jaccard similarity of at least ``similarity``, exactly."""
+
+    @F.pandas_udf("boolean")
+    def enough(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x: bytes, y: bytes) -> bool:
+            if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+                return False
+            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            return both >= similarity * (len(p) + len(q) - both) - 1e-9
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    joined = pairs.join(sets.select(F.col("name").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("name").alias("v"), F.col("shingles").alias("sv")), "v")
+    return joined.where(enough("su", "sv")).select("u", "v")
+
+
+def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Classes of documents linked by a Jaccard similarity of ``k``-word shingles of at least ``similarity``.
+
+    One row per input row: ``doc_id, text_hash, class``. Rows with equal sets of shingles are one, also those without a
+    word. Sets that share a band of their MinHash meet, and each link is verified on the whole sets. In a band all are
+    first held against one of them, then only against those that this has not put in the same class, so a large class
+    gives few pairs and no link is lost.
+    """
+    prints = stage(_sets(docs, k, False), "near-sets")
+    sets = prints.groupBy("s1", "s2").agg(F.first("keys").alias("keys"))
+    keyed = sets.select("s1", "s2", F.explode("keys").alias("key"))  # the band's number is hashed into its key
+    bucket = Window.partitionBy("key")
+    met = keyed.select("key", F.struct("s1", "s2").alias("name"), F.count("*").over(bucket).alias("rows"), F.min(F.struct("s1", "s2")).over(bucket).alias("hub"))
+    met = stage(met.where("rows > 1").select("key", "name", "hub"), "near-met")
+    wanted = stage(prints.join(met.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.first("text_hash").alias("text_hash")).select("text_hash"), "near-wanted")
+    texts = docs.withColumn("text_hash", _text_hash()).join(broadcast_if(wanted, BROADCAST_ROWS), "text_hash", "left_semi")
+    some = stage(_sets(texts.select("doc_id", "text"), k, True).select("name", "shingles").dropDuplicates(["name"]), "near-some")
+    stars = met.where("name <> hub").select(F.col("name").alias("u"), F.col("hub").alias("v")).distinct()
+    first = stage(_alike(stars, some, similarity), "near-links")
+    label = connected_components(first).select(F.col("node").alias("name"), F.col("component").alias("class"))
+    side = stage(met.join(label, "name", "left").select("key", "name", F.coalesce("class", "name").alias("class")), "near-sides")
+    mixed = side.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("key")
+    side = stage(side.join(mixed, "key"), "near-mixed")
+    left = side.alias("x").join(side.alias("y"), "key").where("x.class < y.class").select(F.col("x.name").alias("u"), F.col("y.name").alias("v")).distinct()
+    left = left.join(stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))), ["u", "v"], "left_anti")
+    links = first.unionByName(stage(_alike(left, some, similarity), "near-links"))
+    label = connected_components(links).select(F.col("node").alias("name"), F.col("component").alias("class"))
+    return prints.select("doc_id", "text_hash", "name").join(label, "name", "left").select("doc_id", "text_hash", F.coalesce("class", "name").alias("class"))
+
+
+def drop_similar(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without all but one document of each class; see ``similar_documents`` and ``_keep_first``."""
+    return _keep_first(docs, similar_documents(docs, k, similarity), "class")
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

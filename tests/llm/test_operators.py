@@ -358,6 +358,29 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).where("copies > 0").count() > 0
 
 
+def test_pipeline_near_copies(spark):
+    """Against brute force, with pairs on either side of a Jaccard similarity of 0.8 by five-word shingles."""
+    r, texts = random.Random(12), [None, "", " ", "two words", "Two  words"]
+    for i in range(40):
+        words = prose(r.choice((60, 100, 300)), 700 + i).split(" ")
+        texts.append(" ".join(words))
+        for _ in range(r.randint(1, 3)):
+            copy = list(words)
+            for at in r.sample(range(len(words)), r.randint(1, max(1, len(words) // 40))):
+                copy[at] = "changed"
+            texts.append(" ".join(copy))
+    hub = prose(200, 800).split(" ")  # all near the first, and not to each other
+    texts += [" ".join(hub)] + [" ".join(hub[:at] + ["x"] * 10 + hub[at + 10 :]) for at in range(20, 180, 20)]
+    bags = {}
+    for i, t in enumerate(texts):
+        w = (t or "").lower().split()
+        bags[i] = {tuple(w[j : j + 5]) for j in range(max(len(w) - 4, min(len(w), 1)))}
+    want = classes(bags, lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b))
+    assert 8 < len({i for i in want if want[i] != i}) < len(texts) - 20
+    out = corpus_pipeline.near_dedup(spark, frame(spark, texts), SF)
+    assert sorted(x.doc_id for x in out.collect()) == sorted(set(want.values()))
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_registered(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
