@@ -90,30 +90,80 @@ def chunk_table(docs: DataFrame, average: int = 48, least: int = 16, most: int =
     return rows.mapInArrow(run, f"doc_id {kind}, text_key long, nth int, at long, size int, d1 long, d2 long")
 
 
-def repeated_runs(docs: DataFrame, min_run: int = 100, average: int = 48, least: int = 16, most: int = 512) -> DataFrame:
-    """Byte runs whose chunks all occur before: ``doc_id, text_key, a, b, kept_in``.
+#: Equal bytes of chunks on one diagonal of two texts from which they are extended.
+ANCHOR = 24
+
+
+def _extended(matches: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, text_key, a, b, kept_in``: matches of chunks, made longer on both sides while the two texts agree.
+
+    ``matches`` has ``doc_id, text_key, kept_id, kept_key`` and ``found``, an array of ``(shift, at, end)``: the bytes
+    ``at`` to ``end`` are those of the kept text ``shift`` before.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, spans = [], []
+            for i, (text, kept, found) in enumerate(zip(*(batch.column(c) for c in ("text", "kept_text", "found")), strict=True)):
+                x, y = (np.frombuffer(t.as_py().encode("utf-8", "surrogatepass"), np.uint8) for t in (text, kept))
+                last, done = None, 0
+                for shift, at, end in sorted((f["shift"], f["at"], f["end"]) for f in found.as_py()):
+                    if shift == last and end <= done:
+                        continue
+                    m = min(at, at - shift)
+                    differ = np.flatnonzero(x[at - m : at] != y[at - shift - m : at - shift])
+                    first = at - m + (differ[-1] + 1 if len(differ) else 0)
+                    m = min(len(x) - end, len(y) - end + shift)
+                    differ = np.flatnonzero(x[end : end + m] != y[end - shift : end - shift + m])
+                    last, done = shift, end + (differ[0] if len(differ) else m)
+                    rows.append(i)
+                    spans.append((int(first), int(done)))
+            two = np.array(spans, np.int64).reshape(-1, 2)
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(two[:, 0]), pa.array(two[:, 1]), batch.column("kept_id").take(take)], ["doc_id", "text_key", "a", "b", "kept_in"])
+
+    texts = docs.select(F.col("doc_id").alias("of_id"), F.xxhash64("text").alias("of_key"), "text").dropDuplicates(["of_id", "of_key"])
+    at_kept = F.col("of_id").eqNullSafe(F.col("kept_id")) & (F.col("of_key") == F.col("kept_key"))
+    at_doc = F.col("of_id").eqNullSafe(F.col("doc_id")) & (F.col("of_key") == F.col("text_key"))
+    both = matches.join(texts.withColumnRenamed("text", "kept_text"), at_kept).drop("of_id", "of_key").join(texts, at_doc).drop("of_id", "of_key")
+    return both.mapInArrow(run, f"doc_id {kind}, text_key long, a long, b long, kept_in {kind}")
+
+
+def _whole_copies(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_key, a, b, kept_in``: whole texts of which a document with a smaller doc_id has a copy."""
+    by = ["text_key", "other", "size"]
+    rows = docs.where(F.octet_length("text") > 0).select("doc_id", F.xxhash64("text").alias("text_key"), F.xxhash64(F.lit("copy"), "text").alias("other"), F.octet_length("text").cast("long").alias("size")).distinct()
+    first = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first")).where("n > 1")
+    return rows.join(first, by).where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).select("doc_id", "text_key", F.lit(0).cast("long").alias("a"), F.col("size").alias("b"), F.col("first.doc_id").alias("kept_in"))
+
+
+def repeated_runs(docs: DataFrame, min_run: int = 100, average: int = 24, least: int = 8, most: int = 512) -> DataFrame:
+    """Byte runs that occur before: ``doc_id, text_key, a, b, kept_in``.
 
     Chunks are equal if their digests are. Of each the occurrence with the smallest doc_id, then text and position, is
-    kept; the others are repeats. Runs of neighbouring repeats of ``min_run`` bytes or more in all are returned;
-    shorter ones, as of a short line or a set phrase, are not. ``kept_in`` is the document that keeps the first chunk.
+    kept; the others are repeats. Repeats that have ``ANCHOR`` bytes in line with those of the kept text are extended
+    byte by byte. Runs of touching repeats of ``min_run`` bytes or more in all are returned; shorter ones, as of a short
+    line or a set phrase, are not, unless they are a whole text. ``kept_in`` is the document that keeps the first bytes.
     """
     chunks = stage(chunk_table(docs, average, least, most), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "at")
     kept = chunks.groupBy("d1", "d2").agg(F.min(place).alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = chunks.join(kept, ["d1", "d2"]).where(place != F.col("keep")).select("doc_id", "text_key", "nth", "at", "size", F.col("keep.doc_id").alias("kept_in"))
-    order = Window.partitionBy("doc_id", "text_key").orderBy("nth")
-    return (
-        again.distinct()
-        .withColumn("run", F.col("nth") - F.row_number().over(order))
-        .groupBy("doc_id", "text_key", "run")
-        .agg(F.min("at").alias("a"), F.max(F.col("at") + F.col("size")).alias("b"), F.min_by("kept_in", "nth").alias("kept_in"))
-        .where(F.col("b") - F.col("a") >= min_run)
-        .drop("run")
-    )
-
-
-def dedup_substrings(docs: DataFrame, min_run: int = 100, average: int = 48, least: int = 16, most: int = 512) -> DataFrame:
-    """Texts without their repeated runs of chunks: ``doc_id, n_bytes, kept_text, n_removed, n_spans, kept_sha256, kept_in``.
+    again = chunks.join(kept, ["d1", "d2"]).where(place != F.col("keep"))
+    again = stage(again.select("doc_id", "text_key", "at", (F.col("at") + F.col("size")).alias("end"), F.col("keep.doc_id").alias("kept_id"), F.col("keep.text_key").alias("kept_key"), (F.col("at") - F.col("keep.at")).alias("shift")).distinct(), "chunk-repeats")
+    ids = ["doc_id", "text_key", "kept_id", "kept_key"]
+    lined = again.groupBy(*ids, "shift").agg(F.sum(F.col("end") - F.col("at")).alias("n"), F.collect_list(F.struct("shift", "at", "end")).alias("found")).where(F.col("n") >= ANCHOR)
+    matches = stage(lined.groupBy(*ids).agg(F.flatten(F.collect_list("found")).alias("found")), "chunk-matches")
+    spans = stage(again.select("doc_id", "text_key", F.col("at").alias("a"), F.col("end").alias("b"), F.col("kept_id").alias("kept_in")).unionByName(_extended(matches, docs)), "chunk-spans")
+    order = Window.partitionBy("doc_id", "text_key").orderBy("a", F.desc("b"), "kept_in")
+    before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.withColumn("new", F.when(F.col("a") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("doc_id", "text_key", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min_by("kept_in", F.struct("a", -F.col("b"), "kept_in")).alias("kept_in"))
+    return runs.where(F.col("b") - F.col("a") >= min_run).drop("run").unionByName(_whole_copies(docs))
+
+
+def dedup_substrings(docs: DataFrame, min_run: int = 100, average: int = 24, least: int = 8, most: int = 512) -> DataFrame:
+    """Texts without their repeated runs: ``doc_id, n_bytes, kept_text, n_removed, n_spans, kept_sha256, kept_in``.
 
     One row per input row; see ``repeated_runs``. ``kept_in`` lists the documents that keep what was taken out. Null
     and empty texts have no chunks. Rows that repeat an id and a text count as one document: what is kept in one is

@@ -238,6 +238,18 @@ def test_chunks_resist_shifts(spark):
     assert got[4].n_removed == len(texts0) and got[4].kept_text == ""
 
 
+def test_chunks_recall(spark):
+    """Passages of 51 to 60 words go whole, and copies of short texts too."""
+    texts, passages = ["a short text", "something else", "a short text"], []
+    for i in range(100):
+        passages.append(prose(51 + i % 10, 2000 + i))
+        texts += [f"{prose(60, 3000 + i)} <{passages[-1]}> {prose(40, 4000 + i)}", f"{prose(30, 5000 + i)} [{passages[-1]}] {prose(50, 6000 + i)}"]
+    got = {r.doc_id: r for r in chunks.dedup_substrings(frame(spark, texts)).collect()}
+    assert got[0].n_removed == got[1].n_removed == 0 and got[2].n_removed == len(texts[2]) and got[2].kept_in == [0]
+    gone = [got[4 + 2 * i].n_removed >= len(p) and p not in got[4 + 2 * i].kept_text for i, p in enumerate(passages)]
+    assert sum(gone) >= 98 and all(got[3 + 2 * i].n_removed == 0 for i in range(100))
+
+
 def brute_suffixes(texts):
     seen = Counter()
     raw = [(t or "").encode() for t in texts]
