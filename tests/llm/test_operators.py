@@ -225,6 +225,13 @@ def test_lines(spark):
     assert wanted <= found <= wanted | {(2, 0)}
 
 
+def test_short_lines(spark):
+    """Repeats of lines of any number of words go, by the stage of the pipeline; lines without words stay."""
+    texts = [f"Read more\n{prose(9, 34)}\n--", f"{prose(9, 35)}\nread more\n--", "\u4e00\u4e8c\u4e09\nother", "\u4e00\u4e8c\u4e09\nread less\nRead, more!"]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, frame(spark, texts), SF).collect()}
+    assert got == {0: texts[0], 1: f"{prose(9, 35)}\n--", 2: texts[2], 3: "read less"}
+
+
 def test_chunks_resist_shifts(spark):
     passage = prose(70, 40)
     texts = [prose(90, 41) + passage + prose(80, 42), prose(33, 43) + passage + prose(51, 44), prose(200, 45), texts0 := prose(150, 46), texts0]
