@@ -16,6 +16,8 @@ from factweave.plans.staging import stage
 
 #: Rows up to which affected documents are broadcast to the texts.
 BROADCAST_ROWS = 500_000
+#: Halves of digests up to which they are broadcast to the chunks.
+BROADCAST_KEYS = 3_000_000
 
 
 def gear_table(seed: int = 1) -> np.ndarray:
@@ -148,6 +150,9 @@ def repeated_runs(docs: DataFrame, min_run: int = 100, average: int = 24, least:
     """
     chunks = stage(chunk_table(docs, average, least, most), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "at")
+    # half a digest first, so that few chunks are moved whole
+    several = stage(chunks.groupBy("d1").count().where("count > 1").select("d1"), "chunk-digests")
+    chunks = stage(chunks.join(broadcast_if(several, BROADCAST_KEYS), "d1", "left_semi"), "chunks-several")
     kept = chunks.groupBy("d1", "d2").agg(F.min(place).alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = chunks.join(kept, ["d1", "d2"]).where(place != F.col("keep"))
     again = stage(again.select("doc_id", "text_key", "at", (F.col("at") + F.col("size")).alias("end"), F.col("keep.doc_id").alias("kept_id"), F.col("keep.text_key").alias("kept_key"), (F.col("at") - F.col("keep.at")).alias("shift")).distinct(), "chunk-repeats")
