@@ -14,10 +14,6 @@ from factweave.llm.common import documents
 from factweave.llm.spans import broadcast_if, cut_spans
 from factweave.plans.staging import stage
 
-#: Rows up to which affected documents are broadcast to the texts.
-BROADCAST_ROWS = 500_000
-#: Halves of digests up to which they are broadcast to the chunks.
-BROADCAST_KEYS = 3_000_000
 
 
 def gear_table(seed: int = 1) -> np.ndarray:
@@ -152,7 +148,7 @@ def repeated_runs(docs: DataFrame, min_run: int = 100, average: int = 24, least:
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "at")
     # half a digest first, so that few chunks are moved whole
     several = stage(chunks.groupBy("d1").count().where("count > 1").select("d1"), "chunk-digests")
-    chunks = stage(chunks.join(broadcast_if(several, BROADCAST_KEYS), "d1", "left_semi"), "chunks-several")
+    chunks = stage(chunks.join(broadcast_if(several), "d1", "left_semi"), "chunks-several")
     kept = chunks.groupBy("d1", "d2").agg(F.min(place).alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = chunks.join(kept, ["d1", "d2"]).where(place != F.col("keep"))
     again = stage(again.select("doc_id", "text_key", "at", (F.col("at") + F.col("size")).alias("end"), F.col("keep.doc_id").alias("kept_id"), F.col("keep.text_key").alias("kept_key"), (F.col("at") - F.col("keep.at")).alias("shift")).distinct(), "chunk-repeats")
@@ -181,7 +177,7 @@ def dedup_substrings(docs: DataFrame, min_run: int = 100, average: int = 24, lea
         "chunk-runs",
     )
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").alias("d")
-    found = broadcast_if(by_doc, BROADCAST_ROWS).alias("r")
+    found = broadcast_if(by_doc).alias("r")
     same = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.text_key") == F.col("r.text_key"))
     joined = rows.join(found, same, "left").select("d.doc_id", "d.text", F.coalesce(F.octet_length("d.text"), F.lit(0)).cast("long").alias("n_bytes"), "spans", F.coalesce("kept_in", F.array().cast(f"array<{kind}>")).alias("kept_in"))
     return cut_spans(joined, f"doc_id {kind}, n_bytes long, kept_in array<{kind}>")

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factweave.llm.common import bit_slice, distance, documents, plain_words, shingle_hashes, simhash
-from factweave.plans.staging import small_enough, stage
+from factweave.llm.spans import broadcast_if
+from factweave.plans.staging import stage
 
 #: Fingerprints are cut into four blocks of 16 bits; within 15 bits one block differs in at most three.
 BLOCKS, RADIUS = 4, 15
-#: Benchmark shingles up to this number are broadcast (about 50 MB); more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 def _item_table(benchmark: DataFrame) -> DataFrame:
@@ -59,8 +58,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     for k in ks:
         item_shingles = F.when(size == k, shingle_hashes(F.col("words"), k)).otherwise(item_shingles)
     wanted = items.select(size.alias("k"), "n", F.posexplode(item_shingles).alias("item_pos", "hash")).distinct()
-    if small_enough(wanted, BROADCAST_ROWS):
-        wanted = F.broadcast(wanted)
+    wanted = broadcast_if(stage(wanted, "item-shingles"))
     hits = None
     for k in ks:
         found = tokens.select("doc_id", "text_key", F.size("words").alias("n_words"), F.posexplode(shingle_hashes(F.col("words"), k)).alias("pos", "hash"))

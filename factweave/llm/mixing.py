@@ -11,8 +11,6 @@ from factweave.llm.common import BLANK, documents
 from factweave.llm.spans import broadcast_if
 from factweave.plans.staging import stage
 
-#: Tables with a few rows a source are broadcast up to this number of rows, so that a hot source stays dealt out.
-SOURCE_ROWS = 500_000
 #: Ranks are cut into so many bins, and a bin again into as many.
 BINS = 1024
 
@@ -105,7 +103,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: floa
     p = F.col("rate") - F.col("whole")
     q = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
     drawn = (
-        rows.join(broadcast_if(rates, SOURCE_ROWS), ["skey", "cls"])
+        rows.join(broadcast_if(rates), ["skey", "cls"])
         .withColumn("whole", F.floor("rate"))
         .withColumn("v", F.when((p > 0) & (F.col("size") > 0), q / (1 + q)))
         .withColumn("b1", F.least(F.floor(F.col("v") * BINS), F.lit(BINS - 1)))
@@ -116,13 +114,13 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: floa
     need = targets.join(given, "skey").select("skey", F.greatest(F.floor(F.col("target") + 0.5) - F.col("given"), F.lit(0)).alias("words_left"))
     ranked = drawn.where(F.col("v").isNotNull())
     first = stage(_boundary(ranked.groupBy("skey", "b1").agg(words), need, "b1"), "mix-bins")
-    inside = ranked.join(broadcast_if(first.select("skey", "b1"), SOURCE_ROWS), ["skey", "b1"])
+    inside = ranked.join(broadcast_if(first.select("skey", "b1")), ["skey", "b1"])
     second = stage(_boundary(inside.groupBy("skey", "b1", "b2").agg(words), first.select("skey", "words_left"), "b2"), "mix-bins")
     # rows of the last bin, one by one
     order = Window.partitionBy("skey").orderBy("v", "doc_id", "size")
     last = (
         inside
-        .join(broadcast_if(second, SOURCE_ROWS), ["skey", "b2"])
+        .join(broadcast_if(second), ["skey", "b2"])
         .withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .withColumn("take", (F.col("upto") <= F.col("words_left")).cast("int"))
     )
@@ -142,7 +140,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: floa
         .when(~inside_last, F.col("b2") < F.col("cut2"))
         .otherwise(F.col("last_in").isNotNull() & (F.struct("v", "doc_id", "size") <= F.col("last_in")))
     )
-    taken = drawn.join(broadcast_if(cut, SOURCE_ROWS), "skey", "left").withColumn("chosen", chosen)
+    taken = drawn.join(broadcast_if(cut), "skey", "left").withColumn("chosen", chosen)
     # what is missing or, if smaller, what one more document would give too much
     closer = stage(
         taken.where(F.col("v").isNotNull() & ~F.col("chosen") & F.col("missing").isNotNull())
@@ -157,8 +155,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: floa
     )
     copies = F.col("whole") + (F.col("chosen") | close).cast("long")
     return (
-        taken.join(broadcast_if(closer, SOURCE_ROWS), "skey", "left")
-        .join(broadcast_if(targets, SOURCE_ROWS), "skey")
+        taken.join(broadcast_if(closer), "skey", "left")
+        .join(broadcast_if(targets), "skey")
         .select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
     )
 

@@ -19,8 +19,6 @@ from factweave.plans.staging import stage
 SEED = 42
 #: Groups up to this size are compared pair by pair in one task; larger ones are indexed again by their other bits.
 GROUP = 2048
-#: Names of texts that are broadcast at most; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -312,7 +310,7 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> D
     met = keyed.select("key", F.struct("s1", "s2").alias("name"), F.count("*").over(bucket).alias("rows"), F.min(F.struct("s1", "s2")).over(bucket).alias("hub"))
     met = stage(met.where("rows > 1").select("key", "name", "hub"), "near-met")
     wanted = stage(prints.join(met.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.first("text_hash").alias("text_hash")).select("text_hash"), "near-wanted")
-    texts = docs.withColumn("text_hash", _text_hash()).join(broadcast_if(wanted, BROADCAST_ROWS), "text_hash", "left_semi")
+    texts = docs.withColumn("text_hash", _text_hash()).join(broadcast_if(wanted), "text_hash", "left_semi")
     some = stage(_sets(texts.select("doc_id", "text"), k, True).select("name", "shingles").dropDuplicates(["name"]), "near-some")
     stars = met.where("name <> hub").select(F.col("name").alias("u"), F.col("hub").alias("v")).distinct()
     first = stage(_alike(stars, some, similarity), "near-links")

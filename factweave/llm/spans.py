@@ -6,15 +6,39 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from factweave.plans.staging import small_enough
+#: Megabytes up to which a side is broadcast; a larger one is joined by a shuffle.
+BROADCAST_MB = 64
 
 
-def broadcast_if(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows; else as it is, for a join by shuffle."""
-    return F.broadcast(df) if small_enough(df, rows) else df
+def _size_of(c: Column, kind: T.DataType) -> Column | int:
+    """Bytes of a value in memory, about."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.StructType):
+        return sum((_size_of(c[f.name], f.dataType) for f in kind.fields), 16)
+    if isinstance(kind, T.ArrayType):
+        each = _size_of(F.lit(None).cast(kind.elementType), kind.elementType)
+        n = F.coalesce(F.size(c), F.lit(0)).cast("long")
+        if isinstance(each, int):
+            return n * each + 24
+        return F.coalesce(F.aggregate(c, F.lit(24).cast("long"), lambda acc, x: acc + _size_of(x, kind.elementType)), F.lit(24).cast("long"))
+    return 8
+
+
+def size_mb(df: DataFrame) -> float:
+    """Megabytes that the rows of ``df`` take in memory, about, counted over all of them."""
+    row = sum((_size_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), 32)
+    total = df.agg(F.sum(row if isinstance(row, Column) else F.lit(row).cast("long")).alias("n")).first()["n"]
+    return (total or 0) / 1e6
+
+
+def broadcast_if(df: DataFrame, mb: float = BROADCAST_MB) -> DataFrame:
+    """``df`` marked for broadcast if its rows take at most ``mb`` megabytes; else as it is, for a join by shuffle."""
+    return F.broadcast(df) if size_mb(df) <= mb else df
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

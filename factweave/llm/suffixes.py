@@ -20,8 +20,6 @@ LENGTH = 200
 #: A suffix is sampled for the least hash of ``GRAM`` bytes in each window of ``WINDOW`` starts of strings.
 GRAM = 40
 WINDOW = LENGTH - GRAM + 1
-#: Rows, and bare keys, that are broadcast at most; more are joined by a shuffle.
-BROADCAST_ROWS, BROADCAST_KEYS = 500_000, 3_000_000
 
 
 def sampled_suffixes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -260,17 +258,17 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     """
     copies = docs.select("doc_id", *_ids()).groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).where("n > 1").select("t1", "t2", F.lit(True).alias("copied"), "rep")
     copies = stage(copies, "suffix-copies")
-    texts = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", "text", *_ids()).join(broadcast_if(copies, BROADCAST_ROWS), ["t1", "t2"], "left")
+    texts = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", "text", *_ids()).join(broadcast_if(copies), ["t1", "t2"], "left")
     texts = texts.where(F.col("copied").isNull() | F.col("doc_id").eqNullSafe(F.col("rep"))).select("t1", "t2", "text")
     shared = stage(_suffix_keys(texts).groupBy("key").count().where("count > 1").select("key"), "suffix-keys")
-    found = stage(_suffix_table(texts).join(broadcast_if(shared, BROADCAST_KEYS), "key"), "suffixes")
+    found = stage(_suffix_table(texts).join(broadcast_if(shared), "key"), "suffixes")
     hulls = stage(found.groupBy("key", "h1", "h2").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("t1", "t2", "place")]), "suffix-hulls")
-    equal = broadcast_if(hulls.where("n > 1").select("key", "h1", "h2"), BROADCAST_ROWS)
+    equal = broadcast_if(hulls.where("n > 1").select("key", "h1", "h2"))
     at, high, low = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255).cast("long")), F.col("place").bitwiseAND(F.lit(255).cast("long"))
     same = found.join(equal, ["key", "h1", "h2"]).select("t1", "t2", (at - high).alias("a"), (at - low + LENGTH).alias("b"))
     several = hulls.groupBy("key").count().where("count > 1").select("key")
     places = stage(hulls.join(several, "key").groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "place")).alias("found")), "suffix-places")
-    rows = stage(_contexts(texts.join(broadcast_if(places, BROADCAST_ROWS), ["t1", "t2"])), "suffix-contexts")
+    rows = stage(_contexts(texts.join(broadcast_if(places), ["t1", "t2"])), "suffix-contexts")
     pairs = _sorted_pairs(rows, True).unionByName(_sorted_pairs(rows, False))
     told = F.when(F.col("lo") <= F.col("hi"), F.struct("lo", "hi"))
     most = lambda right: F.coalesce(F.max(F.when(F.col("right") == right, F.col("bound"))), F.lit(0))
@@ -280,10 +278,10 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     reach = F.aggregate("told", lo - 1, lambda acc, x: F.when(x["lo"] <= acc + 1, F.greatest(acc, x["hi"])).otherwise(acc))
     spans = same.unionByName(known.select("t1", "t2", at.alias("at"), F.explode("told").alias("x")).select("t1", "t2", (F.col("at") - F.col("x.hi")).alias("a"), (F.col("at") - F.col("x.lo") + LENGTH).alias("b")))
     open_ = known.where((lo <= hi) & (reach < hi)).select("t1", "t2", "place")
-    keys = stage(rows.join(broadcast_if(open_, BROADCAST_ROWS), ["t1", "t2", "place"], "left_semi").select("key").distinct(), "suffix-open")
+    keys = stage(rows.join(broadcast_if(open_), ["t1", "t2", "place"], "left_semi").select("key").distinct(), "suffix-open")
     if keys.isEmpty():
         return spans
-    return spans.unionByName(_by_halves(rows.join(broadcast_if(keys, BROADCAST_ROWS), "key", "left_semi")))
+    return spans.unionByName(_by_halves(rows.join(broadcast_if(keys), "key", "left_semi")))
 
 
 def dedup_suffixes(docs: DataFrame) -> DataFrame:
@@ -299,7 +297,7 @@ def dedup_suffixes(docs: DataFrame) -> DataFrame:
     copies = docs.select(*_ids(), size.alias("n")).where(F.col("n") >= LENGTH).groupBy("t1", "t2", "n").count().where("count > 1")
     spans = repeated_strings(docs).unionByName(copies.select("t1", "t2", F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
     by_text = stage(spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "suffix-spans")
-    joined = docs.select("doc_id", *_ids(), "text").join(broadcast_if(by_text, BROADCAST_ROWS), ["t1", "t2"], "left")
+    joined = docs.select("doc_id", *_ids(), "text").join(broadcast_if(by_text), ["t1", "t2"], "left")
     return cut_spans(joined.select("doc_id", "text", size.alias("n_bytes"), "spans"), f"doc_id {kind}, n_bytes long")
 
 
