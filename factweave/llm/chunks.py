@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factweave.llm.common import documents
 from factweave.llm.spans import broadcast_if, cut_spans
-from factweave.plans.staging import stage
+from factweave.plans.staging import release, stage
 
 
 
@@ -58,7 +58,7 @@ def chunk_ends(raw: bytes, average: int = 48, least: int = 16, most: int = 512)
 
 
 def chunk_table(docs: DataFrame, average: int = 48, least: int = 16, most: int = 512) -> DataFrame:
-    """``doc_id, text_key, nth, at, size, d1, d2`` of the chunks of all texts; the digest is of 128 bits."""
+    """``doc_id, text_key, at, size, d1, d2`` of the chunks of all texts; the digest is of 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,7 +69,7 @@ def chunk_table(docs: DataFrame, average: int = 48, least: int = 16, most: int =
                 ends = chunk_ends(raw, average, least, most)
                 starts = np.r_[0, ends[:-1]] if len(ends) else ends
                 made = b"".join([digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-                lists.append((np.full(len(ends), i), np.arange(len(ends)), starts, ends - starts, np.frombuffer(made, np.int64).reshape(-1, 2)))
+                lists.append((np.full(len(ends), i), starts, ends - starts, np.frombuffer(made, np.int64).reshape(-1, 2)))
                 rows += len(ends)
                 if rows > 200_000:
                     yield _batch(batch, lists)
@@ -78,14 +78,14 @@ def chunk_table(docs: DataFrame, average: int = 48, least: int = 16, most: int =
                 yield _batch(batch, lists)
 
     def _batch(batch: pa.RecordBatch, lists: list) -> pa.RecordBatch:
-        row, nth, at, size, d = (np.concatenate(x) for x in zip(*lists, strict=True))
+        row, at, size, d = (np.concatenate(x) for x in zip(*lists, strict=True))
         take = pa.array(row)
-        arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(nth.astype(np.int32)), pa.array(at.astype(np.int64)), pa.array(size.astype(np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "nth", "at", "size", "d1", "d2"])
+        arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int64)), pa.array(size.astype(np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "at", "size", "d1", "d2"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, nth int, at long, size int, d1 long, d2 long")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, at long, size int, d1 long, d2 long")
 
 
 #: Equal bytes of chunks on one diagonal of two texts from which they are extended.
@@ -148,7 +148,8 @@ def repeated_runs(docs: DataFrame, min_run: int = 100, average: int = 24, least:
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "at")
     # half a digest first, so that few chunks are moved whole
     several = stage(chunks.groupBy("d1").count().where("count > 1").select("d1"), "chunk-digests")
-    chunks = stage(chunks.join(broadcast_if(several), "d1", "left_semi"), "chunks-several")
+    every, chunks = chunks, stage(chunks.join(broadcast_if(several), "d1", "left_semi"), "chunks-several")
+    release(every, several)
     kept = chunks.groupBy("d1", "d2").agg(F.min(place).alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = chunks.join(kept, ["d1", "d2"]).where(place != F.col("keep"))
     again = stage(again.select("doc_id", "text_key", "at", (F.col("at") + F.col("size")).alias("end"), F.col("keep.doc_id").alias("kept_id"), F.col("keep.text_key").alias("kept_key"), (F.col("at") - F.col("keep.at")).alias("shift")).distinct(), "chunk-repeats")
@@ -156,6 +157,7 @@ def repeated_runs(docs: DataFrame, min_run: int = 100, average: int = 24, least:
     lined = again.groupBy(*ids, "shift").agg(F.sum(F.col("end") - F.col("at")).alias("n"), F.collect_list(F.struct("shift", "at", "end")).alias("found")).where(F.col("n") >= ANCHOR)
     matches = stage(lined.groupBy(*ids).agg(F.flatten(F.collect_list("found")).alias("found")), "chunk-matches")
     spans = stage(again.select("doc_id", "text_key", F.col("at").alias("a"), F.col("end").alias("b"), F.col("kept_id").alias("kept_in")).unionByName(_extended(matches, docs)), "chunk-spans")
+    release(chunks, again, matches)
     order = Window.partitionBy("doc_id", "text_key").orderBy("a", F.desc("b"), "kept_in")
     before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("new", F.when(F.col("a") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -213,16 +213,58 @@ def test_weighted_similarity(spark):
     assert abs(df.select(decontaminate.weighted_similarity(F.col("a"), F.col("b")).alias("s")).first().s - 3 / 7) < 1e-12
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_edit_distance():
+    r = random.Random(5)
+    for _ in range(300):
+        a, b = ("".join(r.choice("abé ") for _ in range(r.randint(0, 40))) for _ in range(2))
+        want, most = edits(a, b), r.randint(0, 40)
+        got = lines.edit_distance(a, b, most)
+        assert got == want if want <= most else got > most
+
+
 def test_lines(spark):
     same, long = prose(12, 30), prose(60, 31)
     near = long[:-3] + "zzz"
     texts = [f"{same}\nshort one\n{long}", f"{prose(9, 32)}\n{same.upper()}\nshort one", f"{near}\n{prose(15, 33)}", None, f"{same}\n{same}"]
     got = {r.doc_id: (r.text, r.n_lines_removed) for r in lines.dedup_lines(frame(spark, texts)).collect()}
     assert got[0] == (texts[0], 0) and got[1] == (f"{prose(9, 32)}\nshort one", 1) and got[3] == (None, 0) and got[4] == ("", 2)
-    assert got[2][1] in (0, 1)  # linked if the fingerprints are within three bits
-    wanted = {(i, p) for i, t in enumerate(texts) for p, x in enumerate((t or "").split("\n")) if len(x.split()) >= 5 and any(x.lower() == y.lower() and (j, q) < (i, p) for j, u in enumerate(texts) for q, y in enumerate((u or "").split("\n")))}
+    assert got[2] == (prose(15, 33), 1)
     found = {(r.doc_id, r.pos) for r in lines.duplicate_lines(frame(spark, texts)).collect()}
-    assert wanted <= found <= wanted | {(2, 0)}
+    assert found == {(1, 1), (2, 0), (4, 0), (4, 1)}
+
+
+def test_lines_against_brute_force(spark):
+    """Random edits: nothing is joined that isn't similar through some lines, and of similar pairs nine in ten are."""
+    r, rows = random.Random(8), []
+    for i in range(60):
+        words = prose(r.choice((6, 12, 25, 60)), 7000 + i).split(" ")
+        rows.append(" ".join(words))
+        for _ in range(3):
+            copy = list(words)
+            for _ in range(max(1, len(words) // r.choice((8, 12, 20)))):
+                at = r.randrange(len(copy))
+                copy[at : at + 1] = r.choice(([], [r.choice(WORDS)], [copy[at], r.choice(WORDS)]))
+            rows.append(" ".join(copy))
+    assert len(set(rows)) > 200
+    near = {(i, j) for i in range(len(rows)) for j in range(i) if abs(len(rows[i]) - len(rows[j])) <= 0.2 * max(len(rows[i]), len(rows[j])) and len(set(rows[i].split()) & set(rows[j].split())) >= 0.4 * len(rows[i].split()) and edits(rows[i], rows[j]) <= 0.2 * max(len(rows[i]), len(rows[j]))}
+    want = classes(dict(enumerate(rows)), lambda a, b: False)
+    part = {i: {i} for i in want}
+    for i, j in near:
+        whole = part[i] | part[j]
+        part.update(dict.fromkeys(whole, whole))
+    removed = {x.doc_id for x in lines.duplicate_lines(frame(spark, rows)).collect()}
+    assert removed <= {i for i in part if i != min(part[i])}
+    assert len(removed) >= 0.9 * sum(1 for i in part if i != min(part[i]))
 
 
 def test_short_lines(spark):
@@ -357,7 +399,7 @@ def test_search(spark):
     texts = [prose(rnd.randint(5, 120), 300 + i % 150) for i in range(400)] + [None, ""]
     df = frame(spark, texts)
     queries = df.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
-    got = search.search(df, queries, 7, shard_docs=90, query_block=5).collect()
+    got = search.search(df, queries, 7, shard_docs=90, query_mb=0.02).collect()
     bags = [Counter((t or "").split()) for t in texts]
     n, avg = len(texts), sum(sum(b.values()) for b in bags) / len(texts)
     df_ = Counter(w for b in bags for w in b)
