@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.plans.staging import stage
+from factweave.plans.staging import release, stage
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -40,7 +40,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .unionByName(near.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        now = stage(small, "components")
+        last, now = now, stage(small, "components")
+        release(last)
         after = _checksum(now)
         if after == before:
             break

@@ -29,9 +29,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows, counted over no more than ``rows + 1`` of them."""
-    return df.limit(rows + 1).count() <= rows
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: all that was made of them has been staged itself."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(conf).delete(path, True)
