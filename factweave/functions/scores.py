@@ -28,7 +28,8 @@ SIGNALS = {
     "reply_negative": ("negative", 0.6),
 }
 SEVERITIES = ("info", "warning", "critical")
-NEGATIONS = "not no never cannot can't don't doesn't isn't aren't wasn't weren't won't shouldn't incorrect false wrong".split()
+# Words of denial.
+NEGATIONS = "not no never none neither nor nothing nowhere nobody don't doesn't didn't won't wouldn't shouldn't couldn't isn't aren't wasn't weren't cannot".split()
 
 
 def round_half_up(x: Column) -> Column:
@@ -107,9 +108,9 @@ def keyword_reward(expected: Column, completion: Column) -> Column:
 
 def negation_conflict(expected: Column, answer: Column) -> Column:
     """Whether an answer shares a word of over three characters with what is expected and has a negation."""
-    subject = F.filter(words_of(expected), lambda w: F.length(w) > 3)
-    said = F.split(F.lower(F.coalesce(answer, F.lit(""))), r"[^a-z0-9']+")
-    return F.arrays_overlap(subject, words_of(answer)) & F.arrays_overlap(said, F.array(*[F.lit(w) for w in NEGATIONS]))
+    words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9_']+"), lambda w: w != "")
+    subject, said = F.filter(words(expected), lambda w: (F.length(w) > 3) & ~w.isin(NEGATIONS)), words(answer)
+    return F.arrays_overlap(subject, said) & F.exists(said, lambda w: w.isin(NEGATIONS))
 
 
 def key_fact_score(facts: Column, answer: Column) -> Column:

@@ -19,6 +19,8 @@ MONTHS = "january february march april may june july august september october no
 MONTH = "(?:" + "|".join(MONTHS) + ")"
 # ASCII word boundaries; Java's \b also takes accented letters for word characters.
 B0, B1 = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+# Fixed value: a phrase that names an owner, in a lower-case sentence.
+OWNERSHIP = r"(?:owned|managed|handled|responsible|maintained|operated)\s+by\s+(?:the\s+)?(\w[\w\s]*?)\s*(?:team|group|squad|dept|department)?(?:\.|,|\z)"
 UUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 
 
@@ -124,10 +126,9 @@ def approximate_dates(c: Column) -> Column:
 
 
 def owner_of(text: Column, entity: Column) -> Column:
-    """Lower-case owner that the first sentence with ``entity`` and an owner phrase names; null if none does."""
+    """Lower-case owner, of two characters or more, that the first sentence with ``entity`` and an owner phrase names; null if none does."""
     about = F.filter(F.transform(sentences(text), lambda s: F.lower(s)), lambda s: s.contains(F.lower(entity)))
-    phrase = rf"(?:owned|managed|handled|maintained|operated)\s+by\s+(?:the\s+)?([a-z0-9][a-z0-9 _-]*?)(?:\s+team)?\s*(?:$|[,;:()])"
-    names = F.filter(F.transform(about, lambda s: F.trim(F.regexp_extract(s, phrase, 1))), lambda x: x != "")
+    names = F.filter(F.transform(about, lambda s: F.trim(F.regexp_extract(s, OWNERSHIP, 1))), lambda x: F.length(x) > 1)
     return F.try_element_at(names, F.lit(1))
 
 

@@ -44,7 +44,34 @@ def apply_nli(pairs: DataFrame, responses: DataFrame, seen: DataFrame) -> DataFr
     return first_per_pair(unseen(hits, seen), "ord_a", "ord_b").select("a", "b", "confidence", "explanation")
 
 
-apply_claim_comparison = apply_nli
+def apply_claim_comparison(pairs: DataFrame, responses: DataFrame, nodes: DataFrame, seen: DataFrame) -> DataFrame:
+    """Node pairs ``request_id, a, b, ord_a, ord_b`` whose facts the answers find to clash, the first per unseen pair.
+
+    ``a, b, severity, description, suggested_action, topic, claim_a, claim_b, impact, confidence``; a severity other
+    than critical is a warning, of medium confidence.
+    """
+    said = parsed(responses, "isContradiction boolean, topic string, claimA string, claimB string, severity string, explanation string")
+    titles = nodes.select("id", "title")
+    rows = pairs.join(said, "request_id").where("isContradiction").join(titles.withColumnsRenamed({"id": "a", "title": "ta"}), "a").join(titles.withColumnsRenamed({"id": "b", "title": "tb"}), "b")
+    grave = F.coalesce(F.col("severity") == "critical", F.lit(False))
+    cells = lambda text, *columns: F.format_string(text, *[F.coalesce(c, F.lit("")) for c in columns])
+    rows = rows.withColumns({
+        "severity": F.when(grave, "critical").otherwise("warning"),
+        "confidence": F.when(grave, "high").otherwise("medium"),
+        "description": cells("When discussing %s, %s states: '%s'. However, %s states: '%s'.", F.col("topic"), F.col("ta"), F.col("claimA"), F.col("tb"), F.col("claimB")),
+        "suggested_action": cells("Review and align %s and %s on %s.", F.col("ta"), F.col("tb"), F.col("topic")),
+    })
+    return first_per_pair(unseen(rows, seen), "ord_a", "ord_b").select("a", "b", "severity", "description", "suggested_action", "topic", F.col("claimA").alias("claim_a"), F.col("claimB").alias("claim_b"), F.col("explanation").alias("impact"), "confidence")
+
+
+def edge_candidates(nodes: DataFrame, k: int = 10, min_similarity: float = 0.15, limit: int | None = 30) -> DataFrame:
+    """Pairs of near nodes that a model is asked about, in order of the first node, then nearness: ``request_id, a, b``."""
+    from factweave.operators.pairs import knn
+
+    near = knn(nodes, k, min_similarity).where("id <> other").join(nodes.select("id", "ord"), "id")
+    first = near.groupBy(F.least("id", "other").alias("lo"), F.greatest("id", "other").alias("hi")).agg(F.min(F.struct("ord", "rank", F.col("id").alias("a"), F.col("other").alias("b"))).alias("h")).select("h.*")
+    out = first.select(F.concat_ws(":", F.least("a", "b"), F.greatest("a", "b")).alias("request_id"), "a", "b", "ord", "rank")
+    return (out if limit is None else out.orderBy("ord", "rank").limit(limit)).drop("ord", "rank")
 
 
 def apply_edge_answers(pairs: DataFrame, responses: DataFrame) -> DataFrame:

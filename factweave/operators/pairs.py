@@ -3,24 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.functions.extract import number_facts
+from factweave.functions.extract import context_numbers, number_facts
 from factweave.functions.scores import cosine
 from factweave.functions.text import B0, B1, approximate_dates, keywords, long_sentences, owner_of, title_words
 
-DAYS = r"(?:\d+\s+days?\s+(?:in|at)\s+(?:the\s+)?office)"
 # Phrases that exclude each other, with their labels, in order.
 POLICY_RULES = (
     (r"remote[- ]first", r"(?:in[- ]office|office[- ](?:first|required|days?)|monday|tuesday|wednesday|thursday|friday)", "remote-first", "office requirement"),
-    (r"fully\s+remote", rf"(?:in[- ]?office|on[- ]?site|office[- ](?:first|required|days?)|{DAYS})", "fully remote", "office requirement"),
+    (r"fully\s+remote", r"(?:in[- ]?office|on[- ]?site|office[- ](?:first|required|days?)|(?:\d+\s+days?\s+(?:in|at)\s+(?:the\s+)?office))", "fully remote", "office requirement"),
     (r"(?:work\s+from\s+home|wfh)", r"(?:must\s+(?:be\s+)?in\s+(?:the\s+)?office|office[- ]required|on[- ]?site\s+required)", "work from home", "office required"),
     (r"hybrid\s+(?:work|model|schedule|policy)", r"fully\s+remote", "hybrid work", "fully remote"),
-    (r"no\s+office\s+requirement", rf"(?:{DAYS}|must\s+(?:be\s+)?in\s+(?:the\s+)?office)", "no office requirement", "office days required"),
+    (r"no\s+office\s+requirement", r"(?:(?:\d+\s+days?\s+(?:in|at)\s+(?:the\s+)?office)|must\s+(?:be\s+)?in\s+(?:the\s+)?office)", "no office requirement", "office days required"),
     (r"(?:allowed|can)\s+(?:to\s+)?work\s+remote\w*", r"remote\s+work\s+is\s+not\s+permitted", "remote work allowed", "remote work not permitted"),
     (r"(?:allowed|can)\s+(?:to\s+)?work\s+remote\w*", r"must\s+work\s+from\s+the\s+office\s+full[- ]time", "remote work allowed", "must work from office full-time"),
     (r"work\s+remote(?:ly)?", r"office\s+full[- ]?time", "remote work", "full-time office"),
@@ -87,8 +87,10 @@ def _different() -> Column:
     return (F.col("x.source_id") != F.col("y.source_id")) & ~F.coalesce(F.arrays_overlap("x.long", "y.long"), F.lit(False))
 
 
-HTTP = rf"(?i){B0}(?:http|status|code|error|response){B1}"
-COLLOQUIAL = rf"(?i){B0}(?:about|roughly|maybe|a few|couple of|probably){B1}"
+# Words that tell a status code or a figure of speech from a number that matters.
+HTTP = rf"(?i){B0}(?:status|response|http|code|error){B1}"
+COLLOQUIAL = rf"(?i){B0}(?:sure|certain|confident|probably|maybe){B1}"
+COLLOQUIAL_EDGES = rf"(?i){B0}(?:sure|certain|confident|probably|maybe|likely|unlikely){B1}"
 TIME_UNITS = ("minute", "hour", "day", "week", "month", "second")
 
 
@@ -240,24 +242,47 @@ def prefilter(nodes: DataFrame, edges: DataFrame, k: int, min_similarity: float)
     return nodes.join(ids, "id", "left_semi"), touched
 
 
-# Phrases that deny each other.
-OPPOSED = (("enabled", "disabled"), ("required", "optional"), ("allowed", "forbidden"), ("mandatory", "voluntary"), ("supported", "unsupported"), ("public", "private"))
+# Phrases that oppose each other, and words that two contexts share by chance.
+OPPOSED = (("remote-first", "office"), ("remote first", "office"), ("work remotely", "office full-time"), ("work remotely", "not permitted"), ("allowed to work remote", "must work from the office"), ("deprecated", "current"))
+GENERIC = (
+    "the and for are with per our day days hour hours month months year years week weeks minute minutes "
+    "within first must all your from requires manager approval team"
+).split()
+
+
+def _written(value: Column) -> Column:
+    """A number as it is written without needless digits."""
+    return F.when((value == F.floor(value)) & (F.abs(value) < 1e15), F.floor(value).cast("string")).otherwise(value.cast("string"))
+
+
+def _opposed(a: Column, b: Column) -> Column:
+    """Whether one text has a phrase and the other its opposite, which the first lacks."""
+    out = F.lit(False)
+    for one, two in OPPOSED:
+        out = out | (a.contains(one) & b.contains(two) & ~a.contains(two)) | (a.contains(two) & b.contains(one) & ~a.contains(one))
+    return out
 
 
 def classify_pairs(pairs: DataFrame) -> DataFrame:
     """Adds ``type, confidence`` to pairs with both nodes' ``text, title, source``: numbers that differ in their context
-    (0.85), opposed words (0.8), a later date on the same title word (0.7, newer first); null if none fits."""
+    (0.85), opposed phrases (0.8), a later date on the same title word (0.7, newer first); null if none fits.
+
+    Numbers differ in their context if their sentences share three words that aren't generic, unless each sentence has
+    both numbers. Percentages count.
+    """
 
     def numbers(c: str) -> Column:
-        return F.filter(number_facts(c), lambda f: (f["value"] > 0) & ~f["sentence"].rlike(COLLOQUIAL) & ~(f["value"].between(100, 599) & f["sentence"].rlike(HTTP)))
+        rows = F.filter(context_numbers(c), lambda f: ~f["context"].rlike(COLLOQUIAL_EDGES) & ~(f["value"].between(100, 599) & f["context"].rlike(HTTP)))
+        return F.transform(rows, lambda f: F.struct(f["value"].alias("value"), F.lower(f["context"]).alias("context"), _written(f["value"]).alias("written")))
+
+    def shared(p: Column, q: Column) -> Column:
+        words = F.filter(F.split(p["context"], r"\s+"), lambda w: (F.length(w) >= 3) & ~w.isin(GENERIC) & q["context"].contains(w))
+        agree = p["context"].contains(q["written"]) & q["context"].contains(p["written"])
+        return (p["value"] != q["value"]) & ~agree & (F.size(words) >= 3)
 
     rows = pairs.withColumns({"__na": numbers("text_a"), "__nb": numbers("text_b"), "__da": F.array_max(approximate_dates(F.col("text_a"))), "__db": F.array_max(approximate_dates(F.col("text_b")))})
-    words = lambda s: F.filter(F.split(F.lower(s), r"\W+"), lambda w: F.length(w) >= 4)
-    clash = F.exists("__na", lambda p: F.exists("__nb", lambda q: (p["unit"] == q["unit"]) & (p["value"] != q["value"]) & (F.size(F.array_intersect(words(p["sentence"]), words(q["sentence"]))) >= 3)))
-    low_a, low_b = F.lower("text_a"), F.lower("text_b")
-    deny = F.lit(False)
-    for left, right in OPPOSED:
-        deny = deny | (low_a.rlike(rf"{B0}{left}{B1}") & low_b.rlike(rf"{B0}{right}{B1}")) | (low_a.rlike(rf"{B0}{right}{B1}") & low_b.rlike(rf"{B0}{left}{B1}"))
+    clash = F.exists("__na", lambda p: F.exists("__nb", lambda q: shared(p, q)))
+    deny = _opposed(F.lower("text_a"), F.lower("text_b"))
     newer = (F.col("source_a") != F.col("source_b")) & (F.col("__da") != F.col("__db")) & F.arrays_overlap(title_words(F.col("title_a")), title_words(F.col("title_b")))
     kind = F.when(clash, F.struct(F.lit("contradicts").alias("t"), F.lit(0.85).alias("c"))).when(deny, F.struct(F.lit("contradicts").alias("t"), F.lit(0.8).alias("c"))).when(newer, F.struct(F.lit("supersedes").alias("t"), F.lit(0.7).alias("c")))
     rows = rows.withColumn("__k", kind).withColumn("b_is_newer", F.coalesce(newer & (F.col("__db") > F.col("__da")), F.lit(False)))
@@ -284,8 +309,19 @@ def propose_links(nodes: DataFrame, k: int = 10) -> DataFrame:
     shared = long.alias("x").join(long.alias("y"), "e").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     side = lambda s: nodes.select(F.col("id").alias(s), F.col("embedding").alias(f"v{s}"), F.lower("title").alias(f"t{s}"))
     rows = near.withColumn("s", F.lit(0)).unionByName(shared.withColumn("s", F.lit(1))).groupBy("a", "b").agg(F.max("s").alias("s")).join(side("a"), "a").join(side("b"), "b").withColumn("similarity", cosine(F.col("va"), F.col("vb")))
-    titles = F.concat_ws(" ", "ta", "tb")
-    kind = F.when(titles.rlike(rf"{B0}(?:who|person|team|owner){B1}"), "mentioned_in").when(titles.rlike(rf"{B0}(?:because|cause|due|led){B1}"), "caused_by").when(titles.rlike(rf"{B0}(?:not|conflict|versus|vs){B1}"), "contradicts").otherwise("related")
-    return rows.where((F.col("similarity") >= 0.75) | ((F.col("s") == 1) & (F.col("similarity") >= 0.5))).select("a", "b", kind.alias("type"), "similarity")
+    return rows.where((F.col("similarity") >= 0.75) | ((F.col("s") == 1) & (F.col("similarity") >= 0.5))).select("a", "b", link_type(F.col("ta"), F.col("tb")).alias("type"), "similarity")
+
+
+# Words of titles that type a link; those of a person count in either title, the others in the first.
+PERSON_WORDS = ("engineer", "manager", "lead", "developer", "designer")
+CAUSE_WORDS = ("caused", "result of")
+WRONG_WORDS = ("wrong", "incorrect", "contradict")
+
+
+def link_type(title_a: Column, title_b: Column) -> Column:
+    """Type of a link by what its lower-case titles contain, else ``related``."""
+    has = lambda t, words: reduce(lambda x, y: x | y, [F.coalesce(t, F.lit("")).contains(w) for w in words])
+    person = has(title_a, PERSON_WORDS) | has(title_b, PERSON_WORDS)
+    return F.when(person, "person_knows").when(has(title_a, CAUSE_WORDS), "caused_by").when(has(title_a, WRONG_WORDS), "contradicts").otherwise("related")
 
 

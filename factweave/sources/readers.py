@@ -109,7 +109,7 @@ def extract_links(pages: DataFrame) -> DataFrame:
     return rows.where(same).select("page_id", "target").distinct()
 
 
-def read_wiki_export(files: DataFrame, most: int | None = 500) -> DataFrame:
+def read_wiki_export(files: DataFrame, most: int | None = None) -> DataFrame:
     """Exported wiki pages ``(path, content)`` to ``path, title, markdown``: image folders and page furniture dropped."""
     rows = files.where(~F.col("path").rlike(r"/(?:images|attachments)/"))
     body = _sub(F.col("content"), (r"(?is)<div[^>]*(?:id|class)=\"(?:page-metadata|breadcrumb[^\"]*|footer)\"[^>]*>.*?</div>", ""), (r"(?is)<t[dh][^>]*>(.*?)</t[dh]>", "$1 | "), (r"(?is)<tr[^>]*>(.*?)</tr>", "\n| $1\n"))
@@ -122,7 +122,7 @@ def read_wiki_export(files: DataFrame, most: int | None = 500) -> DataFrame:
 def read_notes_export(files: DataFrame) -> DataFrame:
     """Exported notes, Markdown or HTML: the 32-digit id at the end of a file name is dropped."""
     name = F.regexp_replace(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.(?:md|html?)$", ""), r"[ -]?[0-9a-f]{32}$", "")
-    text = F.when(F.col("path").rlike(r"\.html?$"), html_to_markdown(F.col("content"))).otherwise(F.trim("content"))
+    text = F.when(F.col("path").rlike(r"\.html?$"), html_to_markdown(F.col("content"))).otherwise(F.regexp_replace("content", r"^\s+|\s+$", ""))
     return files.select("path", F.trim(name).alias("title"), text.alias("markdown")).where(F.length("markdown") >= LEAST_TEXT)
 
 
