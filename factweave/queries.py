@@ -13,25 +13,10 @@ from factweave.operators import answers, detect, evaluate, feedback, filters, pa
 from factweave.plans import domain as d
 from factweave.plans.domain import DETECTIONS_SQL, EDGES_SQL, NODES_SQL, SIGNALS_SQL, table
 from factweave.plans.staging import shared_dir
+from factweave.registry import query
 from factweave.sources import readers, sinks
 from factweave.streaming import feeds
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _joined(c: str, by: str = "|"):
     return F.array_join(F.array_sort(c), by)
 
@@ -168,11 +153,11 @@ def number_conflicts(spark, sf):
     return pairs.number_contradictions(d.nodes(spark, sf))
 
 
-@query(f"""with {_PREP} select a.id as a, b.id as b from prep a join prep b on a.ord < b.ord
+@query(f"""with {_PREP} select a.id as a, b.id as b, 0 as rule from prep a join prep b on a.ord < b.ord
 where ((a.ord % 3 = 0 and b.ord % 3 = 1) or (a.ord % 3 = 1 and b.ord % 3 = 0)) and a.source_id <> b.source_id and {_TOPIC}
 and not (a.title = b.title and a.e2 = b.e2) and not (a.title = b.title and a.e3 = b.e3 and a.e2 = b.e2 and a.p_size = b.p_size)""")
 def policy_conflicts(spark, sf):
-    return pairs.policy_contradictions(d.nodes(spark, sf)).select("a", "b")
+    return pairs.policy_contradictions(d.nodes(spark, sf))
 
 
 @query(f"""with {NODES_SQL} select a.id as a, b.id as b, case when a.e1 = b.e1 then a.e1 else a.e3 end as entity, replace(a.e2, '#', ' ') as owner_a, replace(b.e2, '#', ' ') as owner_b
@@ -208,10 +193,11 @@ def _at():
 
 
 @query("""select 'order-' || o_orderkey as id, 'Last updated: ' || strftime(day, '%Y-%m') as label, floor(date_diff('day', date_trunc('month', day), date '2008-01-01') / 30.0 + 0.5)::bigint as months_ago
-from (select o_orderkey, (o_orderdate + interval 120 month)::date as day from orders) where date_diff('day', date_trunc('month', day), date '2008-01-01') > 180""")
+from (select o_orderkey, (o_orderdate + interval 120 month)::date as day from orders) where date_diff('day', date_trunc('month', day), date '2008-01-01') > 180 and o_orderkey % 3 <> 0""")
 def old_references(spark, sf):
     rows = _orders(spark, sf, lambda x: F.concat(F.lit("Last updated: "), F.date_format(x, "yyyy-MM")))
-    return detect.dated_references(rows, d.edges(spark, sf).limit(0), _at())
+    superseded = table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.lit("supersedes").alias("type"), F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("target_id"))
+    return detect.dated_references(rows, superseded, _at())
 
 
 @query("""with x as (select o_orderkey, (o_orderdate + interval 120 month)::date as day from orders), y as (select 'by ' || strftime(day, '%B %Y') as label, last_day(day) as e, o_orderkey from x)
@@ -386,11 +372,13 @@ def rewards(spark, sf):
     return d.signals(spark, sf).select("signal_type", scores.reward(F.col("signal_type"), F.lit(0.5)).alias("r")).groupBy("signal_type").agg(F.round(F.sum("r.value"), 6).alias("total"))
 
 
-@query(f"with {_PAIRS} select count(*) as new_pairs, count(*) >= 50 as train from p where created_at > timestamp '2024-01-10'")
+@query(f"""with {_PAIRS}, h as (select max(created_at) as last from signals where signal_type = 'shared'), n as (select count(*) as new_pairs from p, h where created_at > last), r as (select new_pairs, floor((epoch(timestamp '2024-02-01') - floor(epoch(last))) / 3600)::bigint as hours from n, h)
+select new_pairs, hours, new_pairs >= 50 or (hours >= 168 and new_pairs >= 10) as train, case when new_pairs >= 50 then 'enough pairs' when hours >= 168 and new_pairs >= 10 then 'time is up' else 'wait' end as reason, case when new_pairs < 20 then 'sft' else 'dpo' end as method from r""")
 def retrain(spark, sf):
+    """Whether to train again, after the last signal that an answer was shared as the time of the last training."""
     p = feedback.corrections_to_pairs(_corrections(spark, sf), feedback.reputation(d.signals(spark, sf)))
-    history = d.signals(spark, sf).agg(F.max("created_at")).select(F.to_timestamp(F.lit("2024-01-10")).alias("trained_at"))
-    return feedback.retrain_decision(p, history, F.to_timestamp(F.lit("2024-02-01"))).select("new_pairs", F.col("new_pairs").__ge__(50).alias("train"))
+    history = d.signals(spark, sf).where("signal_type = 'shared'").select(F.col("created_at").alias("trained_at"))
+    return feedback.retrain_decision(p, history, F.to_timestamp(F.lit("2024-02-01")))
 
 
 def _streamed(spark, sf, make):
