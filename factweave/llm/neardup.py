@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factweave.llm.common import documents
+from factweave.llm.common import documents, unused
+from factweave.llm.meeting import links
 from factweave.llm.spans import broadcast_if
 from factweave.operators.graph import connected_components
 from factweave.plans.staging import stage
@@ -210,15 +211,16 @@ def _keep_first(docs: DataFrame, classes: DataFrame, column: str) -> DataFrame:
     found = stage(classes.withColumn("rank", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")), "near-members")
     best = found.groupBy(column).agg(F.min("rank").alias("rank")).select("rank.*")
     repeated = found.groupBy("doc_id", "text_hash").count().where("count > 1")
-    kept = best.select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__text_hash") == F.col("__kept_hash"))
-    out = docs.withColumn("__text_hash", _text_hash()).join(kept, same, "left_semi")
+    own, kept_id, kept_hash = unused(docs, "text_hash", "kept_id", "kept_hash")
+    named = [F.col("doc_id").alias(kept_id), F.col("text_hash").alias(kept_hash)]
+    same = F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_hash))
+    out = docs.withColumn(own, _text_hash()).join(best.select(*named), same, "left_semi")
     if repeated.isEmpty():
-        return out.drop("__text_hash")
-    again = repeated.select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash"))
+        return out.drop(own)
+    again = repeated.select(*named)
     once = out.join(again, same, "left_anti")
-    twice = out.join(again, same, "left_semi").dropDuplicates(["doc_id", "__text_hash"])
-    return once.unionByName(twice).drop("__text_hash")
+    twice = out.join(again, same, "left_semi").dropDuplicates(["doc_id", own])
+    return once.unionByName(twice).drop(own)
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, radius: int = 3) -> DataFrame:
@@ -258,9 +260,9 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, k: int, whole: bool) -> DataFrame:
-    """``doc_id, text_hash, s1, s2`` and, with ``whole``, the bytes of a row's set of shingles, else the ``keys`` of its bands.
+    """``doc_id, text_hash, s1`` and, with ``whole``, the bytes of a row's set of shingles, else the ``keys`` of its bands.
 
-    ``s1`` and ``s2`` are two hashes that name the set.
+    ``s1`` is a hash that names the set.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     last, of = ("shingles binary", pa.binary()) if whole else ("keys array<long>", pa.list_(pa.int64()))
@@ -270,59 +272,50 @@ def _sets(docs: DataFrame, k: int, whole: bool) -> DataFrame:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 sets = [shingle_set(t.as_py(), k) for t in part.column(2)]
-                name = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), np.int64).reshape(-1, 2)
+                name = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
                 values = pa.array([s.tobytes() if whole else band_keys(s) for s in sets], of)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(name[:, 0]), pa.array(name[:, 1]), values], ["doc_id", "text_hash", "s1", "s2", last.split(" ")[0]])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(name), values], ["doc_id", "text_hash", "s1", last.split(" ")[0]])
 
-    return docs.select("doc_id", _text_hash().alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, s1 long, s2 long, {last}").withColumn("name", F.struct("s1", "s2"))
+    return docs.select("doc_id", _text_hash().alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, s1 long, {last}")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``u, v`` of the pairs whose sets have a Jaccard similarity of at least ``similarity``, exactly."""
+    """``u, v`` of the pairs whose sets ``name, shingles`` have a Jaccard similarity of at least ``similarity``, exactly."""
 
     @F.pandas_udf("boolean")
     def enough(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(x: bytes, y: bytes) -> bool:
-            if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
-                return False
             p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(p, q, assume_unique=True))
             return both >= similarity * (len(p) + len(q) - both) - 1e-9
 
         return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    joined = pairs.join(sets.select(F.col("name").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("name").alias("v"), F.col("shingles").alias("sv")), "v")
-    return joined.where(enough("su", "sv")).select("u", "v")
+    left = pairs.join(sets.select(F.col("name").alias("u"), F.col("shingles").alias("su"), F.col("size").alias("nu")), "u")
+    both = left.join(sets.select(F.col("name").alias("v"), F.col("shingles").alias("sv"), F.col("size").alias("nv")), "v")
+    return both.where(F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9).where(enough("su", "sv")).select("u", "v")
 
 
 def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of ``k``-word shingles of at least ``similarity``.
 
-    One row per input row: ``doc_id, text_hash, class``. Rows with equal sets of shingles are one, also those without a
-    word. Sets that share a band of their MinHash meet, and each link is verified on the whole sets. In a band all are
-    first held against one of them, then only against those that this has not put in the same class, so a large class
-    gives few pairs and no link is lost.
+    One row per input row: ``doc_id, text_hash, class``. Rows with equal sets of shingles, by 64 bits of a hash, are one,
+    also those without a word. Sets that share a band of their MinHash meet (see ``meeting.links``), and each link is
+    verified on the whole sets.
     """
     prints = stage(_sets(docs, k, False), "near-sets")
-    sets = prints.groupBy("s1", "s2").agg(F.first("keys").alias("keys"))
-    keyed = sets.select("s1", "s2", F.explode("keys").alias("key"))  # the band's number is hashed into its key
-    bucket = Window.partitionBy("key")
-    met = keyed.select("key", F.struct("s1", "s2").alias("name"), F.count("*").over(bucket).alias("rows"), F.min(F.struct("s1", "s2")).over(bucket).alias("hub"))
-    met = stage(met.where("rows > 1").select("key", "name", "hub"), "near-met")
-    wanted = stage(prints.join(met.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.first("text_hash").alias("text_hash")).select("text_hash"), "near-wanted")
-    texts = docs.withColumn("text_hash", _text_hash()).join(broadcast_if(wanted), "text_hash", "left_semi")
-    some = stage(_sets(texts.select("doc_id", "text"), k, True).select("name", "shingles").dropDuplicates(["name"]), "near-some")
-    stars = met.where("name <> hub").select(F.col("name").alias("u"), F.col("hub").alias("v")).distinct()
-    first = stage(_alike(stars, some, similarity), "near-links")
-    label = connected_components(first).select(F.col("node").alias("name"), F.col("component").alias("class"))
-    side = stage(met.join(label, "name", "left").select("key", "name", F.coalesce("class", "name").alias("class")), "near-sides")
-    mixed = side.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("key")
-    side = stage(side.join(mixed, "key"), "near-mixed")
-    left = side.alias("x").join(side.alias("y"), "key").where("x.class < y.class").select(F.col("x.name").alias("u"), F.col("y.name").alias("v")).distinct()
-    left = left.join(stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))), ["u", "v"], "left_anti")
-    links = first.unionByName(stage(_alike(left, some, similarity), "near-links"))
-    label = connected_components(links).select(F.col("node").alias("name"), F.col("component").alias("class"))
-    return prints.select("doc_id", "text_hash", "name").join(label, "name", "left").select("doc_id", "text_hash", F.coalesce("class", "name").alias("class"))
+    named = prints.select(F.col("s1").alias("name"), "text_hash")
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        texts = named.join(broadcast_if(wanted), "name", "left_semi").groupBy("name").agg(F.first("text_hash").alias("text_hash"))
+        texts = docs.withColumn("text_hash", _text_hash()).join(broadcast_if(stage(texts.select("text_hash"), "near-wanted")), "text_hash", "left_semi")
+        sets = _sets(texts.select("doc_id", "text"), k, True).select(F.col("s1").alias("name"), "shingles", (F.octet_length("shingles") / 8).cast("long").alias("size"))
+        return stage(sets.dropDuplicates(["name"]), "near-some")
+
+    keyed = prints.select(F.col("s1").alias("name"), F.explode("keys").alias("key"))  # the band's number is hashed into its key
+    found = links(keyed, fetch, lambda pairs, sets: _alike(pairs, sets, similarity), similarity)
+    label = broadcast_if(stage(connected_components(found).select(F.col("node").alias("s1"), F.col("component").alias("class")), "near-labels"))
+    return prints.select("doc_id", "text_hash", "s1").join(label, "s1", "left").select("doc_id", "text_hash", F.coalesce("class", "s1").alias("class"))
 
 
 def drop_similar(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
