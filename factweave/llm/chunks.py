@@ -58,7 +58,10 @@ def chunk_ends(raw: bytes, average: int = 48, least: int = 16, most: int = 512)
 
 
 def chunk_table(docs: DataFrame, average: int = 48, least: int = 16, most: int = 512) -> DataFrame:
-    """``doc_id, text_key, at, size, d1, d2`` of the chunks of all texts; the digest is of 128 bits."""
+    """``doc_id, text_key, at, d1, d2`` of the chunks of all texts.
+
+    The digest has 64 bits in ``d1`` and 22 in ``d2``, whose lowest ten bits are the chunk's size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,12 +83,13 @@ def chunk_table(docs: DataFrame, average: int = 48, least: int = 16, most: int =
     def _batch(batch: pa.RecordBatch, lists: list) -> pa.RecordBatch:
         row, at, size, d = (np.concatenate(x) for x in zip(*lists, strict=True))
         take = pa.array(row)
-        arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int64)), pa.array(size.astype(np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "at", "size", "d1", "d2"])
+        more = (d[:, 1] << 10 | size).astype(np.int32)
+        arrays = [batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(d[:, 0]), pa.array(more)]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "at", "d1", "d2"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, at long, size int, d1 long, d2 long")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, at int, d1 long, d2 int")
 
 
 #: Equal bytes of chunks on one diagonal of two texts from which they are extended.
@@ -144,7 +148,13 @@ def repeated_runs(docs: DataFrame, min_run: int = 100, average: int = 24, least:
     byte by byte. Runs of touching repeats of ``min_run`` bytes or more in all are returned; shorter ones, as of a short
     line or a set phrase, are not, unless they are a whole text. ``kept_in`` is the document that keeps the first bytes.
     """
-    chunks = stage(chunk_table(docs, average, least, most), "chunks")
+    if most > 1023:
+        raise ValueError("a chunk's size has ten bits")
+    copies = _whole_copies(docs)
+    # of whole copies the first speaks for all
+    later = broadcast_if(stage(copies.select("doc_id", "text_key").distinct(), "chunk-copies")).select(F.col("doc_id").alias("copy_id"), F.col("text_key").alias("copy_key"))
+    once = docs.join(later, F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.xxhash64("text") == F.col("copy_key")), "left_anti")
+    chunks = stage(chunk_table(once, average, least, most), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "at")
     # half a digest first, so that few chunks are moved whole
     several = stage(chunks.groupBy("d1").count().where("count > 1").select("d1"), "chunk-digests")
@@ -152,7 +162,7 @@ def repeated_runs(docs: DataFrame, min_run: int = 100, average: int = 24, least:
     release(every, several)
     kept = chunks.groupBy("d1", "d2").agg(F.min(place).alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = chunks.join(kept, ["d1", "d2"]).where(place != F.col("keep"))
-    again = stage(again.select("doc_id", "text_key", "at", (F.col("at") + F.col("size")).alias("end"), F.col("keep.doc_id").alias("kept_id"), F.col("keep.text_key").alias("kept_key"), (F.col("at") - F.col("keep.at")).alias("shift")).distinct(), "chunk-repeats")
+    again = stage(again.select("doc_id", "text_key", F.col("at").cast("long").alias("at"), (F.col("at") + F.col("d2").bitwiseAND(F.lit(1023))).cast("long").alias("end"), F.col("keep.doc_id").alias("kept_id"), F.col("keep.text_key").alias("kept_key"), (F.col("at") - F.col("keep.at")).cast("long").alias("shift")).distinct(), "chunk-repeats")
     ids = ["doc_id", "text_key", "kept_id", "kept_key"]
     lined = again.groupBy(*ids, "shift").agg(F.sum(F.col("end") - F.col("at")).alias("n"), F.collect_list(F.struct("shift", "at", "end")).alias("found")).where(F.col("n") >= ANCHOR)
     matches = stage(lined.groupBy(*ids).agg(F.flatten(F.collect_list("found")).alias("found")), "chunk-matches")
@@ -162,7 +172,7 @@ def repeated_runs(docs: DataFrame, min_run: int = 100, average: int = 24, least:
     before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("new", F.when(F.col("a") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.groupBy("doc_id", "text_key", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min_by("kept_in", F.struct("a", -F.col("b"), "kept_in")).alias("kept_in"))
-    return runs.where(F.col("b") - F.col("a") >= min_run).drop("run").unionByName(_whole_copies(docs))
+    return runs.where(F.col("b") - F.col("a") >= min_run).drop("run").unionByName(copies)
 
 
 def dedup_substrings(docs: DataFrame, min_run: int = 100, average: int = 24, least: int = 8, most: int = 512) -> DataFrame:
