@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factweave.llm.common import bit_slice, distance, documents, plain_words, shingle_hashes, simhash
+from factweave.llm.common import bit_slice, distance, documents, plain_words, shingle_hashes, simhash, unused
 from factweave.llm.spans import broadcast_if
 from factweave.plans.staging import stage
 
@@ -45,7 +45,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     bits of each of four blocks, so every window within 15 bits of an item of its size meets it. Candidates are
     verified by the exact weighted similarity of their ``shingle``-word shingles. Items of fewer words are compared
     whole; items without words match nothing. Null and empty texts have no windows. Rows that repeat an id and a text
-    give the same rows once; items with equal words are one, with all their ids.
+    give the same rows once; items with equal words are one, with all their ids. Other columns are ignored.
     """
     if not 3 * BLOCKS <= radius <= 3 * BLOCKS + BLOCKS - 1:
         raise ValueError("the index is built for three bits a block")
@@ -99,17 +99,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
         .select("doc_id", "text_key", "key", "window")
         .distinct()
     )
-    met = met.join(items, "key")
+    # few bytes here are much work, so a fixed number of partitions
+    met = met.join(broadcast_if(items), "key").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "text_key", "key", F.size("window"), F.xxhash64("window"))
     score = weighted_similarity(_shingles(F.col("window"), F.least(F.lit(shingle), F.col("n"), F.size("window"))), _shingles(F.col("words"), F.least(F.lit(shingle), F.col("n"))))
     scored = met.select("doc_id", "text_key", "key", "item_ids", score.alias("similarity")).where(F.col("similarity") >= similarity)
     return scored.groupBy("doc_id", "text_key", "key", "item_ids").agg(F.max("similarity").alias("similarity"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without those that hold a passage of the benchmark; all columns stay."""
-    bad = contaminated(docs, benchmark, similarity).select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).distinct()
-    rows = docs.withColumn("__text_key", F.xxhash64("text"))
-    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (F.col("__text_key") == F.col("__bad_key")), "left_anti").drop("__text_key")
+    """``docs`` without those that hold a passage of the benchmark; all columns stay, whatever they are called."""
+    own, bad_id, bad_key = unused(docs, "text_key", "bad_id", "bad_key")
+    bad = contaminated(docs, benchmark, similarity).select(F.col("doc_id").alias(bad_id), F.col("text_key").alias(bad_key)).distinct()
+    bad = broadcast_if(stage(bad, "contaminated"))
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.col(own) == F.col(bad_key)), "left_anti").drop(own)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,12 +11,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm.common import documents, plain_words, shingle_hashes
+from factweave.llm.common import documents, plain_words, shingle_hashes, unused
 from factweave.plans.staging import stage
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-#: Bounds of what is fitted on the driver: labelled rows, and tokens kept by their z-score.
-SAMPLE_ROWS, TOKENS = 200_000, 50_000
+#: Labelled rows that the model is fitted on, at most; they bound the tokens that come to the driver.
+SAMPLE_ROWS = 200_000
 
 
 @dataclass
@@ -91,14 +91,14 @@ def _karlin(scores: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
     return low, float(min(1.0, max((weights[scores > 0]).sum(), 1e-9)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic", alpha: float = 0.05, effect: float = 1.0, strength: float = 0.01, sample_rows: int = SAMPLE_ROWS, max_tokens: int = TOKENS) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic", alpha: float = 0.05, effect: float = 1.0, strength: float = 0.01, sample_rows: int = SAMPLE_ROWS) -> ToxicModel:
     """Token log-odds with an informative Dirichlet prior (Monroe et al., 2008), and the calibration of their segments.
 
     Learns from the labelled rows for which ``held_out``, a column over ``doc_id``, is false; if there are more than
     ``sample_rows``, from a sample by hash of about that size; near copies among them count once. Counts of texts that
     hold a token are made by Spark; its prior counts are ``strength`` times those it would have if it were neutral. A
     token keeps its log-odds if they are ``effect`` or more, either way, and too rare by chance at level ``alpha`` over
-    all tokens; at most ``max_tokens`` of these, the surest, come to the driver. All other tokens score a little below
+    all tokens; these come to the driver. All other tokens score a little below
     zero, so that chance segments stay short. Repeats of a doc_id in ``labels`` count by their largest label.
     Without labels of both kinds no token scores, and every score is 0.5 or less.
     """
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxi
     # Chernoff's bound on the chance of such a share among n texts, times the number of tokens
     surprise = n * (F.when(share > 0, share * F.log(share / base)).otherwise(0.0) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0))
     bar = math.log(max(1, counts.count()) / alpha)
-    kept = counts.select("w", delta.alias("delta"), surprise.alias("surprise"), n.alias("n")).where((F.col("surprise") >= bar) & (F.abs("delta") >= effect)).orderBy(F.col("surprise").desc(), "w").limit(max_tokens).collect()
+    kept = counts.select("w", delta.alias("delta"), surprise.alias("surprise"), n.alias("n")).where((F.col("surprise") >= bar) & (F.abs("delta") >= effect)).orderBy(F.col("surprise").desc(), "w").collect()
     scores = {r["w"]: float(r["delta"]) for r in kept}
     mass = np.array([r["n"] for r in kept], float) / (n1 + n0)
     values = np.array([r["delta"] for r in kept], float)
@@ -165,11 +165,15 @@ def _evidence(model: ToxicModel):
     return evidence
 
 
-def score_toxicity(docs: DataFrame, model: ToxicModel, alpha: float = 0.05) -> DataFrame:
+NAMES = ("toxic_score", "toxic_passages", "n_toxic_passages")
+
+
+def score_toxicity(docs: DataFrame, model: ToxicModel, alpha: float = 0.05, names: tuple[str, str, str] = NAMES) -> DataFrame:
     """``docs`` with ``toxic_score`` (0 to 1), ``toxic_passages`` (token spans with their evidence) and their number.
 
     Whole texts are scored, in one pass and without a shuffle. Null and empty texts have no passages and get the
-    score of a text without evidence. Rows are scored each for itself; columns of these names are replaced.
+    score of a text without evidence. Rows are scored each for itself; columns of these names, which ``names`` changes, are
+    replaced; all others stay, whatever they are called.
     """
 
     @F.pandas_udf("struct<evidence:double,passages:array<struct<first:int,last:int,evidence:double>>>")
@@ -177,9 +181,11 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, alpha: float = 0.05) -> D
         got = [passages(t, model, alpha) for t in texts]
         return pd.DataFrame({"evidence": [float(x[1]) for x in got], "passages": [[{"first": a, "last": b, "evidence": float(s)} for a, b, s in x[0]] for x in got]})
 
-    rows = docs.withColumn("__scan", scan("text"))
-    score = 1 / (1 + F.exp(-(model.slope * F.log1p("__scan.evidence") + model.offset)))
-    return rows.withColumns({"toxic_score": score, "toxic_passages": F.col("__scan.passages"), "n_toxic_passages": F.size("__scan.passages").cast("long")}).drop("__scan")
+    (seen,) = unused(docs, "scan")
+    rows = docs.withColumn(seen, scan("text"))
+    score_, found, count = names
+    score = 1 / (1 + F.exp(-(model.slope * F.log1p(f"{seen}.evidence") + model.offset)))
+    return rows.withColumns({score_: score, found: F.col(f"{seen}.passages"), count: F.size(f"{seen}.passages").cast("long")}).drop(seen)
 
 
 def held_out_rows() -> Column:
