@@ -399,7 +399,7 @@ def test_search(spark):
     texts = [prose(rnd.randint(5, 120), 300 + i % 150) for i in range(400)] + [None, ""]
     df = frame(spark, texts)
     queries = df.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
-    got = search.search(df, queries, 7, shard_docs=90, query_mb=0.02).collect()
+    got = search.search(df, queries, 7, shard_mb=0.03, query_mb=0.02).collect()
     bags = [Counter((t or "").split()) for t in texts]
     n, avg = len(texts), sum(sum(b.values()) for b in bags) / len(texts)
     df_ = Counter(w for b in bags for w in b)
