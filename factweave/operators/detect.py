@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from factweave.functions.extract import COMPLETION, deadlines
 from factweave.functions.scores import round_half_up
 from factweave.functions.text import B0, B1, claim_stems, clean_excerpt, dated_mentions, tokenize, topic_words
 from factweave.operators.graph import connected_components
-from factweave.operators.pairs import knn, node_text, overlap_pairs, prefilter
+from factweave.operators.pairs import boost_severity, edge_contradictions, heuristic_contradictions, node_text, overlap_pairs, prefilter, vector_links
 
 DAY = 86400.0
 CHAT = ("slack", "teams", "chat")
@@ -90,7 +91,7 @@ def chat_clusters(nodes: DataFrame, threshold: float = 0.64, min_size: int = 3)
     component of the similarity graph is walked by itself, over the links it has.
     """
     chat = nodes.where(F.col("source_type").isin(*CHAT))
-    links = knn(chat, 1 << 30).where((F.col("similarity") > threshold) & (F.col("id") != F.col("other"))).select(F.col("id").alias("u"), F.col("other").alias("v"))
+    links = vector_links(chat, threshold).select(F.col("id").alias("u"), F.col("other").alias("v"))
     part = connected_components(links.where("u < v"))
     order = chat.select("id", "ord")
     near = links.groupBy("u").agg(F.collect_list("v").alias("near"))
@@ -197,13 +198,12 @@ def _detections(df: DataFrame, kind: str, node_ids: Column, severity: Column, de
     return df.select(F.lit(kind).alias("type"), severity.alias("severity"), node_ids.alias("node_ids"), description.alias("description"))
 
 
-def contradiction_detector(nodes: DataFrame, edges: DataFrame, as_of: Column) -> DataFrame:
-    from factweave.operators.pairs import edge_contradictions, heuristic_contradictions
-
+def contradiction_detector(nodes: DataFrame, edges: DataFrame, as_of: Column, max_fact: int | None = None, max_total: int | None = None) -> DataFrame:
+    """Told and heuristic contradictions, their severity boosted by authority and kinship; caps only for a report."""
     told = edge_contradictions(nodes, edges)
-    found = heuristic_contradictions(nodes, told.select("a", "b"))
+    found = heuristic_contradictions(nodes, told.select("a", "b"), max_fact, max_total)
     both = told.select("a", "b", F.lit("edge").alias("kind"), "severity").unionByName(found.select("a", "b", "kind", "severity"))
-    return _detections(both, "contradiction", F.array("a", "b"), F.col("severity"), F.concat(F.lit("Contradiction by "), "kind"))
+    return _detections(boost_severity(both, nodes), "contradiction", F.array("a", "b"), F.col("severity"), F.concat(F.lit("Contradiction by "), "kind"))
 
 
 def staleness_detector(nodes: DataFrame, edges: DataFrame, as_of: Column) -> DataFrame:
@@ -212,12 +212,24 @@ def staleness_detector(nodes: DataFrame, edges: DataFrame, as_of: Column) -> Dat
     return a.unionByName(b)
 
 
-def deadline_detector(nodes: DataFrame, edges: DataFrame, as_of: Column) -> DataFrame:
-    rows = completed_deadlines(time_bombs(nodes, as_of), nodes)
+def deadline_detector(nodes: DataFrame, edges: DataFrame, as_of: Column, limit: int | None = None) -> DataFrame:
+    rows = completed_deadlines(time_bombs(nodes, as_of, limit), nodes)
     return _detections(rows, "time_bomb", F.col("node_ids"), F.col("severity"), F.concat(F.lit("Deadline: "), "label"))
 
 
-DEFAULT = (Detector("contradictions", contradiction_detector), Detector("staleness", staleness_detector), Detector("time_bombs", deadline_detector))
+def undocumented_detector(nodes: DataFrame, edges: DataFrame, as_of: Column, threshold: float = 0.64) -> DataFrame:
+    rows = undocumented_topics(chat_clusters(nodes, threshold), nodes)
+    return _detections(rows, "undocumented", F.col("node_ids"), F.col("severity"), F.concat(F.lit("Only told in chat: "), "title"))
+
+
+DEFAULT = (Detector("contradictions", contradiction_detector), Detector("staleness", staleness_detector), Detector("undocumented", undocumented_detector), Detector("time_bombs", deadline_detector))
+#: The same with the caps of a short report.
+REPORT = (
+    Detector("contradictions", partial(contradiction_detector, max_fact=10, max_total=50)),
+    Detector("staleness", staleness_detector),
+    Detector("undocumented", undocumented_detector),
+    Detector("time_bombs", partial(deadline_detector, limit=20)),
+)
 
 
 def run_detectors(nodes: DataFrame, edges: DataFrame, as_of: Column, detectors: tuple[Detector, ...] = DEFAULT) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -191,12 +191,8 @@ def boost_severity(detections: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select(*[F.col(c) if c != "severity" else out.alias("severity") for c in detections.columns])
 
 
-def knn(nodes: DataFrame, k: int, min_similarity: float | None = None, block: int = 4096) -> DataFrame:
-    """Exact nearest neighbours by cosine, self included: ``id, other, similarity, rank``; the cut comes after the top ``k``.
-
-    Vectors are packed in blocks; each block meets each once (numpy product), keeps ``k`` a row, and the tops of a
-    row's blocks are merged. For more vectors than squares allow, see ``knn_buckets``.
-    """
+def _block_products(nodes: DataFrame, block: int, pick: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``id, other, similarity`` of what ``pick`` takes, by rows and columns, of the cosines of each two blocks of vectors."""
     kind = nodes.schema["id"].dataType.simpleString()
     rows = nodes.select("id", "embedding").where("embedding is not null and size(embedding) > 0").withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(max(1, nodes.count() // block + 1))))
     packed = rows.groupBy("blk").agg(F.collect_list(F.struct("id", "embedding")).alias("rows"))
@@ -207,16 +203,35 @@ def knn(nodes: DataFrame, k: int, min_similarity: float | None = None, block: in
         n = np.linalg.norm(m, axis=1, keepdims=True)
         return [c["id"] for c in cells], np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
-    def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r1, r2 in zip(batch["r1"], batch["r2"], strict=True):
                 ids, x = unit(r1)
                 others, y = unit(r2)
                 s = x @ y.T
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"id": np.repeat(np.array(ids, object), best.shape[1]), "other": np.array(others, object)[best.ravel()], "similarity": np.take_along_axis(s, best, 1).ravel()})
+                a, b = pick(s)
+                yield pd.DataFrame({"id": np.array(ids, object)[a], "other": np.array(others, object)[b], "similarity": s[a, b]})
+
+    return met.select("r1", "r2").mapInPandas(run, f"id {kind}, other {kind}, similarity double")
+
+
+def vector_links(nodes: DataFrame, threshold: float, block: int = 4096) -> DataFrame:
+    """Pairs of vectors nearer than ``threshold`` by cosine, both ways round: only they leave the product of two blocks."""
+    return _block_products(nodes, block, lambda s: np.nonzero(s > threshold)).where(F.col("id") != F.col("other"))
+
+
+def knn(nodes: DataFrame, k: int, min_similarity: float | None = None, block: int = 4096) -> DataFrame:
+    """Exact nearest neighbours by cosine, self included: ``id, other, similarity, rank``; the cut comes after the top ``k``.
+
+    Vectors are packed in blocks; each block meets each once (numpy product), keeps ``k`` a row, and the tops of a
+    row's blocks are merged. For more vectors than squares allow, see ``knn_buckets``.
+    """
+
+    def top(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        return np.repeat(np.arange(len(s)), best.shape[1]), best.ravel()
 
-    tops = met.select("r1", "r2").mapInPandas(top, f"id {kind}, other {kind}, similarity double")
+    tops = _block_products(nodes, block, top)
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), F.col("id") != F.col("other"), "other")
     out = tops.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return out if min_similarity is None else out.where(F.col("similarity") >= min_similarity)

@@ -166,9 +166,9 @@ def owner_conflicts(spark, sf):
     return pairs.ownership_conflicts(d.nodes(spark, sf))
 
 
-@query(f"with {NODES_SQL}, e as (select unnest([e1, e2, e3]) as entity from nodes) select entity from e group by entity having count(*) > 0.3 * (select count(*) from nodes)")
+@query(f"with {NODES_SQL}, e as (select unnest([e1, e2, e3]) as entity from nodes) select entity from e group by entity having count(*) > 0.12 * (select count(*) from nodes)")
 def frequent_entities(spark, sf):
-    return pairs.high_freq_entities(d.nodes(spark, sf))
+    return pairs.high_freq_entities(d.nodes(spark, sf), 0.12)
 
 
 @query(f"""with {EDGES_SQL} select source_id as a, target_id as b, case when confidence >= 0.8 then 'critical' else 'warning' end as severity from edges where type = 'contradicts'""")
@@ -242,13 +242,13 @@ def nearest_vectors(spark, sf):
 
 @query()
 def vector_clusters(spark, sf):
-    return detect.chat_clusters(_vectors(spark, sf), 0.64).select("cluster", "n", "severity")
+    return detect.chat_clusters(_vectors(spark, sf), 0.4).select("cluster", "n", "severity")
 
 
 @query()
 def undocumented(spark, sf):
     docs = d.nodes(spark, sf).where("source_type = 'md'")
-    return detect.undocumented_topics(detect.chat_clusters(_vectors(spark, sf), 0.64), docs).select("cluster", "n")
+    return detect.undocumented_topics(detect.chat_clusters(_vectors(spark, sf), 0.4), docs).select("cluster", "n")
 
 
 # --- reports ------------------------------------------------------------------------------------------------------------

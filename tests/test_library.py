@@ -211,5 +211,5 @@ def test_order_is_a_rank(spark):
 
 def test_library_does_without_the_training_text_part():
     root = Path(__file__).resolve().parents[1]
-    found = subprocess.run([sys.executable, "-c", "import factweave.queries, sys; print([m for m in sys.modules if 'llm' in m])"], cwd=root, capture_output=True, text=True, check=True)
+    found = subprocess.run([sys.executable, "-c", "import factweave.queries, factweave.queries_more, sys; print([m for m in sys.modules if 'llm' in m])"], cwd=root, capture_output=True, text=True, check=True)
     assert found.stdout.strip() == "[]"
