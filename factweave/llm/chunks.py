@@ -125,7 +125,9 @@ def _extended(matches: DataFrame, docs: DataFrame) -> DataFrame:
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(two[:, 0]), pa.array(two[:, 1]), batch.column("kept_id").take(take)], ["doc_id", "text_key", "a", "b", "kept_in"])
 
-    texts = docs.select(F.col("doc_id").alias("of_id"), F.xxhash64("text").alias("of_key"), "text").dropDuplicates(["of_id", "of_key"])
+    texts = docs.select(F.col("doc_id").alias("of_id"), F.xxhash64("text").alias("of_key"), "text")
+    if not texts.groupBy("of_id", "of_key").count().where("count > 1").isEmpty():  # else nothing need be moved for this
+        texts = texts.dropDuplicates(["of_id", "of_key"])
     at_kept = F.col("of_id").eqNullSafe(F.col("kept_id")) & (F.col("of_key") == F.col("kept_key"))
     at_doc = F.col("of_id").eqNullSafe(F.col("doc_id")) & (F.col("of_key") == F.col("text_key"))
     both = matches.join(texts.withColumnRenamed("text", "kept_text"), at_kept).drop("of_id", "of_key").join(texts, at_doc).drop("of_id", "of_key")
