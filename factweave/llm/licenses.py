@@ -33,11 +33,35 @@ PHRASES = {
     "public domain": "public-domain",
     "proprietary and confidential": "proprietary",
     "spdx license identifier": "spdx",
+    "eclipse public license": "epl",
+    "european union public licence": "eupl",
+    "common development and distribution license": "cddl",
+    "artistic license": "artistic",
+    "boost software license": "bsl",
+    "server side public license": "sspl",
+    "business source license": "busl",
+    "open database license": "odbl",
+    "sil open font license": "ofl",
+    "free documentation license": "gfdl",
+    "isc license": "isc",
+    "zlib license": "zlib",
+    "the unlicense": "public-domain",
+    "dedicated to the public domain": "public-domain",
+    "the software is provided as is without warranty of any kind": "no-warranty",
+    "licensed under the apache license version 2 0": "apache",
+    "attribution noncommercial": "cc-by-nc",
+    "attribution sharealike": "cc-by-sa",
+    "attribution noderivatives": "cc-by-nd",
+    "for internal use only": "proprietary",
+    "may not be reproduced": "proprietary",
+    "without prior written permission": "restricted",
 }
 #: Families of SPDX identifiers by their lower-case beginnings, the longest that fits; label and how much it restricts use.
-FAMILIES = (("agpl", "agpl", 0.9), ("lgpl", "lgpl", 0.6), ("gpl", "gpl", 0.8), ("apache", "apache", 0.2), ("mit", "mit", 0.1), ("bsd", "bsd", 0.1), ("isc", "isc", 0.1), ("mpl", "mpl", 0.5), ("cc0", "cc0", 0.0), ("cc-by-nc", "cc-by-nc", 0.9), ("cc-by-nd", "cc-by-nd", 0.8), ("cc-by-sa", "cc-by-sa", 0.6), ("cc-by", "cc-by", 0.3), ("unlicense", "public-domain", 0.0), ("licenseref", "other", 1.0))
+FAMILIES = (("agpl", "agpl", 0.9), ("lgpl", "lgpl", 0.6), ("gpl", "gpl", 0.8), ("apache", "apache", 0.2), ("mit", "mit", 0.1), ("bsd", "bsd", 0.1), ("isc", "isc", 0.1), ("mpl", "mpl", 0.5), ("cc0", "cc0", 0.0), ("cc-by-nc", "cc-by-nc", 0.9), ("cc-by-nd", "cc-by-nd", 0.8), ("cc-by-sa", "cc-by-sa", 0.6), ("cc-by", "cc-by", 0.3), ("unlicense", "public-domain", 0.0), ("licenseref", "other", 1.0),
+            ("epl", "epl", 0.5), ("eupl", "eupl", 0.7), ("cddl", "cddl", 0.5), ("artistic", "artistic", 0.3), ("bsl", "bsl", 0.1), ("zlib", "zlib", 0.1), ("sspl", "sspl", 1.0), ("busl", "busl", 1.0), ("odbl", "odbl", 0.6), ("ofl", "ofl", 0.3), ("gfdl", "gfdl", 0.7),
+            ("0bsd", "bsd", 0.0), ("psf", "psf", 0.2), ("python", "psf", 0.2), ("ms-pl", "ms-pl", 0.4), ("wtfpl", "public-domain", 0.0), ("cc-by-nc-sa", "cc-by-nc", 0.9), ("cc-by-nc-nd", "cc-by-nc", 1.0), ("afl", "afl", 0.2), ("osl", "osl", 0.7))
 #: How much other labels restrict use.
-RESTRICTS = {"reserved": 1.0, "proprietary": 1.0, "public-domain": 0.0, "cc": 0.3, "spdx": 0.0, "exception": 0.0, **{label: x for _, label, x in FAMILIES}}
+RESTRICTS = {"reserved": 1.0, "proprietary": 1.0, "public-domain": 0.0, "cc": 0.3, "spdx": 0.0, "exception": 0.0, "no-warranty": 0.0, "restricted": 0.5, **{label: x for _, label, x in FAMILIES}}
 TAG = re.compile(r"spdx-license-identifier\s*:?[ \t]*([^\r\n*]+)")
 PIECE = re.compile(r"\(|\)|[a-z0-9.+:-]+")
 NEEDS = {"or": 1, "and": 2, "with": 3}
@@ -92,7 +116,7 @@ def evaluate(postfix: list[str]) -> tuple[set[str], float]:
     stack: list[tuple[set[str], float]] = []
     for x in postfix:
         if x not in NEEDS:
-            family = max((f for f in FAMILIES if x.startswith(f[0])), key=lambda f: len(f[0]), default=("", "other", 1.0))
+            family = max((f for f in FAMILIES if re.match(re.escape(f[0]) + r"(?![a-uw-z])", x)), key=lambda f: len(f[0]), default=("", "other", 1.0))
             stack.append(({family[1]}, family[2]))
             continue
         (b, weight_b), (a, weight_a) = stack.pop(), stack.pop()
