@@ -268,7 +268,7 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     same = found.join(equal, ["key", "h1", "h2"]).select("t1", "t2", (at - high).alias("a"), (at - low + LENGTH).alias("b"))
     several = hulls.groupBy("key").count().where("count > 1").select("key")
     places = stage(hulls.join(several, "key").groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "place")).alias("found")), "suffix-places")
-    rows = stage(_contexts(texts.join(broadcast_if(places), ["t1", "t2"])), "suffix-contexts")
+    rows = stage(_contexts(texts.join(places, ["t1", "t2"])), "suffix-contexts")
     pairs = _sorted_pairs(rows, True).unionByName(_sorted_pairs(rows, False))
     told = F.when(F.col("lo") <= F.col("hi"), F.struct("lo", "hi"))
     most = lambda right: F.coalesce(F.max(F.when(F.col("right") == right, F.col("bound"))), F.lit(0))
@@ -297,7 +297,7 @@ def dedup_suffixes(docs: DataFrame) -> DataFrame:
     copies = docs.select(*_ids(), size.alias("n")).where(F.col("n") >= LENGTH).groupBy("t1", "t2", "n").count().where("count > 1")
     spans = repeated_strings(docs).unionByName(copies.select("t1", "t2", F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
     by_text = stage(spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "suffix-spans")
-    joined = docs.select("doc_id", *_ids(), "text").join(broadcast_if(by_text), ["t1", "t2"], "left")
+    joined = docs.select("doc_id", *_ids(), "text").join(by_text, ["t1", "t2"], "left")
     return cut_spans(joined.select("doc_id", "text", size.alias("n_bytes"), "spans"), f"doc_id {kind}, n_bytes long")
 
 
