@@ -11,6 +11,7 @@ from factweave.llm.neardup import op8_near_duplicates
 from factweave.llm.search import op4_search
 from factweave.llm.secrets import op3_secret_spans
 from factweave.llm.suffixes import op9_suffix_dedup
+from factweave.llm.tokenfiles import op13_token_files
 from factweave.llm.toxicity import op7_toxicity
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_license_scan": op10_license_scan,
+    "op13_token_files": op13_token_files,
 }
 
 #: Hash functions other than MD5, entropy windows, learned scores, automata and components have no counterpart in SQL.
