@@ -9,6 +9,7 @@ from factweave.llm.lines import op6_line_dedup
 from factweave.llm.mixing import ORACLE_OP1, op1_mix_sources
 from factweave.llm.neardup import op8_near_duplicates
 from factweave.llm.periodic import op12_periodic_runs
+from factweave.llm.prefixes import op11_prefix_trie
 from factweave.llm.search import op4_search
 from factweave.llm.secrets import op3_secret_spans
 from factweave.llm.suffixes import op9_suffix_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_token_files": op13_token_files,
 }
