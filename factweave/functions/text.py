@@ -18,6 +18,8 @@ TOPIC_STOP = "services project company classic document created space pages http
 MONTHS = "january february march april may june july august september october november december".split()
 MONTH = "(?:" + "|".join(MONTHS) + ")"
 # ASCII word boundaries; Java's \b also takes accented letters for word characters.
+#: White space of a class of characters, as the words of headlines and titles are parted.
+SPACES = "\\s\u000b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 B0, B1 = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 # Fixed value: a phrase that names an owner, in a lower-case sentence.
 OWNERSHIP = r"(?:owned|managed|handled|responsible|maintained|operated)\s+by\s+(?:the\s+)?(\w[\w\s]*?)\s*(?:team|group|squad|dept|department)?(?:\.|,|\z)"

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions.extract import COMPLETION, deadlines
 from factweave.functions.scores import round_half_up
-from factweave.functions.text import B0, B1, claim_stems, clean_excerpt, dated_mentions, tokenize, topic_words
+from factweave.functions.text import B0, B1, SPACES, claim_stems, clean_excerpt, dated_mentions, jaccard, tokenize, topic_words
 from factweave.operators.graph import connected_components
-from factweave.operators.pairs import boost_severity, edge_contradictions, heuristic_contradictions, node_text, overlap_pairs, prefilter, vector_links
+from factweave.operators.greedy import shared_prefixes, take_in_order
+from factweave.operators.pairs import boost_severity, edge_contradictions, heuristic_contradictions, near_vectors, node_text, overlap_pairs, prefilter
+from factweave.plans.staging import stage
 
 DAY = 86400.0
 CHAT = ("slack", "teams", "chat")
@@ -87,28 +87,14 @@ def completed_deadlines(bombs: DataFrame, nodes: DataFrame) -> DataFrame:
 def chat_clusters(nodes: DataFrame, threshold: float = 0.64, min_size: int = 3) -> DataFrame:
     """Greedy clusters of chat nodes, in order: ``cluster, node_ids, n, title, facts, severity``.
 
-    A node takes all free ones nearer than ``threshold``. The choice depends on neighbours only, so each connected
-    component of the similarity graph is walked by itself, over the links it has.
+    A free node takes all free ones nearer than ``threshold``, if they are ``min_size`` with it; else it stays free for those after it.
+    The first of a cluster is the one that took the others (``greedy.take_in_order``: in rounds, none of which walks a component).
     """
-    chat = nodes.where(F.col("source_type").isin(*CHAT))
-    links = vector_links(chat, threshold).select(F.col("id").alias("u"), F.col("other").alias("v"))
-    part = connected_components(links.where("u < v"))
-    order = chat.select("id", "ord")
-    near = links.groupBy("u").agg(F.collect_list("v").alias("near"))
-    rows = part.join(order, F.col("node") == F.col("id")).join(near, F.col("id") == F.col("u")).select("component", "id", "ord", "near")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        free, out = set(pdf["id"]), []
-        for r in pdf.sort_values("ord").itertuples():
-            if r.id in free:
-                took = [r.id, *[x for x in r.near if x in free and x != r.id]]
-                free -= set(took)
-                out += [(r.id, x) for x in took]
-        return pd.DataFrame(out, columns=["cluster", "id"])
-
-    got = rows.groupBy("component").applyInPandas(walk, "cluster string, id string").join(chat.select("id", "ord", "title", "facts"), "id")
-    head = F.struct("ord", "id", "title", "facts")
-    x = got.groupBy("cluster").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(head)).alias("rows")).where(F.col("n") >= min_size)
+    chat = stage(nodes.where(F.col("source_type").isin(*CHAT)).where("size(embedding) > 0").select("id", "ord", "title", "facts", "embedding"), "chat-nodes")
+    got = take_in_order(chat.select("id", F.col("ord").cast("long").alias("at")), near_vectors(chat.select("id", "embedding"), threshold), min_size - 1)
+    got = got.select(F.col("leader").alias("cluster"), "id").join(chat.select("id", "ord", "title", "facts"), "id")
+    head = F.struct((F.col("id") != F.col("cluster")).alias("other"), "ord", "id", "title", "facts")
+    x = got.groupBy("cluster").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(head)).alias("rows"))
     return x.select("cluster", F.slice(F.transform("rows", lambda r: r["id"]), 1, 10).alias("node_ids"), "n", F.element_at("rows", 1)["title"].alias("title"), F.slice(F.array_distinct(F.flatten(F.transform("rows", lambda r: F.coalesce(r["facts"], F.array())))), 1, 10).alias("facts"), F.when(F.col("n") >= 6, "warning").otherwise("info").alias("severity"))
 
 
@@ -242,36 +228,37 @@ def run_detectors(nodes: DataFrame, edges: DataFrame, as_of: Column, detectors:
     return out
 
 
-def _leaders(pdf: pd.DataFrame) -> Iterator[int]:
-    """Leader clustering in order: a finding joins the first cluster whose first finding is near enough."""
-    heads: list[tuple[set, set]] = []
-    for words, docs in zip(pdf["words"], pdf["docs"], strict=True):
-        w, d = set(words), set(docs)
-        for k, (hw, hd) in enumerate(heads):
-            j = len(w & hw) / len(w | hw) if w | hw else 0.0
-            if j >= 0.5 or (j >= 0.3 and d & hd):
-                yield k
-                break
-        else:
-            heads.append((w, d))
-            yield len(heads) - 1
+def headline_words(headline: Column) -> Column:
+    """The words of a headline as a set: lower case, letters a-z and digits alone; without any, one empty word."""
+    kept = F.regexp_replace(F.lower(F.coalesce(headline, F.lit(""))), rf"[^a-z0-9{SPACES}]", "")
+    return F.array_distinct(F.split(F.trim(F.regexp_replace(kept, rf"[{SPACES}]+", " ")), " "))
 
 
 def consensus(findings: DataFrame, passes: int, min_votes: int | None = None) -> DataFrame:
     """Findings that ``ceil(passes / 2)`` passes agree on: ``category, cluster, votes, severity, headline, documents``.
 
-    Clusters are led by their first finding within a category. The median severity and the longest headline stand.
+    In order of passes, a finding joins the first cluster of its category whose first finding is near enough: half of all words
+    in common, or three in ten and a document. Only headlines that share a rare word meet (``greedy.take_in_order``: in rounds, none
+    of which walks a category). The median severity and the longest headline stand; ``cluster`` tells the first finding's place.
+    ``ord`` orders the findings of one category and pass.
     """
     votes = -(-passes // 2) if min_votes is None else min_votes
-    rows = findings.select("category", "pass_index", "ord", "severity", "headline", F.coalesce("affected_documents", F.array().cast("array<string>")).alias("docs"), F.filter(F.split(F.lower("headline"), r"\W+"), lambda w: w != "").alias("words"))
-
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pass_index", "ord"])
-        return pdf.assign(cluster=np.fromiter(_leaders(pdf), int, len(pdf)))[["category", "pass_index", "ord", "cluster"]]
-
-    got = rows.groupBy("category").applyInPandas(lead, "category string, pass_index int, ord long, cluster int")
-    x = rows.join(got, ["category", "pass_index", "ord"])
+    at = F.shiftleft(F.col("pass_index").cast("long"), 40) + F.col("ord").cast("long")
+    docs = F.coalesce("affected_documents", F.array().cast("array<string>"))
+    rows = stage(findings.select(F.struct(F.col("category").alias("category"), at.alias("at")).alias("id"), "category", at.alias("at"), "pass_index", "severity", "headline", docs.alias("docs"), headline_words(F.col("headline")).alias("words")), "consensus")
+    rare = stage(shared_prefixes(rows.select("id", F.transform("words", lambda w: F.concat_ws("|", w, "category")).alias("tokens")), 0.3), "consensus-words")
+
+    def near(left: DataFrame, right: DataFrame) -> DataFrame:
+        sides = [rare.join(x, "id", "left_semi").select(F.col("id").alias(n), "token") for x, n in ((left, "u"), (right, "v"))]
+        met = sides[0].join(sides[1], "token").where("u <> v").select("u", "v").distinct()
+        told = [rows.select(F.col("id").alias(n), F.col("words").alias(f"{n}w"), F.col("docs").alias(f"{n}d")) for n in ("u", "v")]
+        j = jaccard(F.col("uw"), F.col("vw"))
+        return met.join(told[0], "u").join(told[1], "v").where((j >= 0.5) | ((j >= 0.3) & F.arrays_overlap("ud", "vd"))).select("u", "v")
+
+    x = rows.join(take_in_order(rows.select("id", "at"), near), "id")
     names = F.array(*[F.lit(s) for s in ("info", "warning", "critical")])
-    ranks = F.array_sort(F.collect_list(F.array_position(names, F.col("severity"))))
-    out = x.groupBy("category", "cluster").agg(F.count_distinct("pass_index").alias("votes"), ranks.alias("r"), F.max_by("headline", F.struct(F.length("headline"), -F.col("ord"))).alias("headline"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("documents"))
-    return out.where(F.col("votes") >= votes).select("category", "cluster", "votes", F.element_at(names, F.element_at("r", F.floor(F.size("r") / 2 + 1).cast("int")).cast("int")).alias("severity"), "headline", "documents")
+    ranks = F.array_sort(F.collect_list(F.greatest(F.array_position(names, F.col("severity")), F.lit(1))))
+    best = F.max_by("headline", F.struct(F.length("headline"), -F.col("at")))
+    out = x.groupBy("leader").agg(F.count_distinct("pass_index").alias("votes"), ranks.alias("r"), best.alias("headline"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("docs")))).alias("documents"))
+    median = F.element_at(names, F.element_at("r", F.floor(F.size("r") / 2 + 1).cast("int")).cast("int"))
+    return out.where(F.col("votes") >= votes).select("leader.category", F.col("leader.at").alias("cluster"), "votes", median.alias("severity"), "headline", "documents")

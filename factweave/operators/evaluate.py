@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions.scores import cosine, keyword_accuracy, lcs_f1, negation_conflict
 from factweave.functions.text import overlap_of_smaller, tokenize
+from factweave.operators.greedy import match_in_order
+from factweave.plans.staging import stage
 
 
 def _ratio(a: Column, b: Column, empty: float) -> Column:
@@ -40,27 +41,40 @@ def id_metrics(expected: DataFrame, detected: DataFrame, universe: DataFrame) ->
     return _prf(id_details(expected, detected, universe).agg(F.count_if(e & d).alias("tp"), F.count_if(~e & d).alias("fp"), F.count_if(e & ~d).alias("fn")), 1.0)
 
 
+def _classes(rows: DataFrame, cls: str) -> tuple[DataFrame, DataFrame]:
+    """Rows ``ord, type, text`` in classes of one type and one set of tokens: ``(cls, at)``, and ``(cls, type, tokens)`` of those with tokens."""
+    x = rows.select("type", "ord", F.array_sort(tokenize(F.col("text"))).alias("tokens"))
+    x = stage(x.withColumn(cls, F.sha2(F.concat_ws("|", "type", F.array_join("tokens", " ")), 256)), "fuzzy-classes")
+    return x.select(cls, F.col("ord").cast("long").alias("at")), x.where(F.size("tokens") > 0).groupBy(cls).agg(F.first("type").alias("type"), F.first("tokens").alias("tokens"))
+
+
+def overlap_links(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """``cls, other``: classes ``(cls, type, tokens)`` and ``(other, type, tokens)`` that share more than ``least`` of the smaller's tokens.
+
+    A smaller set that shares so much has one of the shared tokens among the rarest that are left when ``least`` of its size is
+    taken off; so these are joined with all tokens of the larger sets, once with either side as the smaller.
+    """
+    sides = [x.select(F.col(n), F.concat_ws("|", "type").alias("type"), F.size("tokens").alias("size"), F.explode("tokens").alias("token")) for x, n in ((left, "cls"), (right, "other"))]
+    df = sides[0].select("type", "token").unionByName(sides[1].select("type", "token")).groupBy("type", "token").agg(F.count("*").alias("df"))
+
+    def met(small: DataFrame, key: str, large: DataFrame) -> DataFrame:
+        k = F.row_number().over(Window.partitionBy(key).orderBy("df", "token"))
+        rare = small.join(df, ["type", "token"]).withColumn("k", k).where(F.col("k") <= F.col("size") - F.floor(F.col("size") * least + 1e-9))
+        return rare.select(key, "type", "token", F.col("size").alias("s")).join(large.withColumnRenamed("size", "t"), ["type", "token"]).where("s <= t").select("cls", "other")
+
+    pairs = met(sides[0], "cls", sides[1]).unionByName(met(sides[1], "other", sides[0])).distinct()
+    pairs = pairs.join(left.select("cls", F.col("tokens").alias("ta")), "cls").join(right.select("other", F.col("tokens").alias("tb")), "other")
+    return pairs.where(overlap_of_smaller(F.col("ta"), F.col("tb")) > least).select("cls", "other")
+
+
 def fuzzy_metrics(detections: DataFrame, truth: DataFrame, least: float = 0.4) -> DataFrame:
-    """Each detection ``ord, type, text`` takes the first free positive ``ord, type, text`` of its type that overlaps enough.
+    """Each detection ``ord, type, text``, in order, takes the first free positive ``ord, type, text`` of its type that overlaps enough.
 
-    Candidates meet on type and token; only they go to the greedy walk, a group per type.
+    Equal texts form classes, which are linked and matched as such (``greedy.match_in_order``), so no task gets a type's rows.
     """
-    d = detections.select("type", F.col("ord").alias("d"), tokenize(F.col("text")).alias("dt"))
-    t = truth.select("type", F.col("ord").alias("t"), tokenize(F.col("text")).alias("tt"))
-    met = d.select("type", "d", F.explode("dt").alias("w")).join(t.select("type", "t", F.explode("tt").alias("w")), ["type", "w"]).select("type", "d", "t").distinct()
-    close = met.join(d, ["type", "d"]).join(t, ["type", "t"]).where(overlap_of_smaller(F.col("dt"), F.col("tt")) > least).select("type", "d", "t")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for d_, rows in pdf.sort_values(["d", "t"]).groupby("d", sort=True):
-            for t_ in rows["t"]:
-                if t_ not in used:
-                    used.add(t_)
-                    out.append((pdf["type"].iloc[0], d_, t_))
-                    break
-        return pd.DataFrame(out, columns=["type", "d", "t"])
-
-    tp = close.groupBy("type").applyInPandas(walk, "type string, d long, t long").agg(F.count("*").alias("tp"))
+    (d, dc), (t, tc) = _classes(detections, "cls"), _classes(truth, "other")
+    taken = match_in_order(d, t, overlap_links(dc, tc, least))
+    tp = taken.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("tp"))
     rows = tp.crossJoin(d.agg(F.count("*").alias("nd"))).crossJoin(t.agg(F.count("*").alias("nt")))
     return _prf(rows.select("tp", (F.col("nd") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("tp")).alias("fn")), 0.0)
 

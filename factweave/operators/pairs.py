@@ -191,12 +191,16 @@ def boost_severity(detections: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select(*[F.col(c) if c != "severity" else out.alias("severity") for c in detections.columns])
 
 
-def _block_products(nodes: DataFrame, block: int, pick: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """``id, other, similarity`` of what ``pick`` takes, by rows and columns, of the cosines of each two blocks of vectors."""
-    kind = nodes.schema["id"].dataType.simpleString()
-    rows = nodes.select("id", "embedding").where("embedding is not null and size(embedding) > 0").withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(max(1, nodes.count() // block + 1))))
-    packed = rows.groupBy("blk").agg(F.collect_list(F.struct("id", "embedding")).alias("rows"))
-    met = packed.select(F.col("blk").alias("b1"), F.col("rows").alias("r1")).join(packed.select(F.col("blk").alias("b2"), F.col("rows").alias("r2")), F.lit(True))
+def _packed(nodes: DataFrame, block: int) -> DataFrame:
+    """``rows``: the nodes with vectors, in lists of about ``block``."""
+    rows = nodes.select("id", "embedding").where("embedding is not null and size(embedding) > 0")
+    return rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(max(1, nodes.count() // block + 1)))).groupBy("blk").agg(F.collect_list(F.struct("id", "embedding")).alias("rows"))
+
+
+def _block_products(left: DataFrame, right: DataFrame, block: int, pick: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``id, other, similarity`` of what ``pick`` takes, by rows and columns, of the cosines of each block of vectors with each."""
+    kind = left.schema["id"].dataType.simpleString()
+    met = _packed(left, block).select(F.col("rows").alias("r1")).join(_packed(right, block).select(F.col("rows").alias("r2")), F.lit(True))
 
     def unit(cells) -> tuple[list, np.ndarray]:
         m = np.array([np.asarray(c["embedding"], float) for c in cells])
@@ -215,9 +219,14 @@ def _block_products(nodes: DataFrame, block: int, pick: Callable[[np.ndarray], t
     return met.select("r1", "r2").mapInPandas(run, f"id {kind}, other {kind}, similarity double")
 
 
-def vector_links(nodes: DataFrame, threshold: float, block: int = 4096) -> DataFrame:
-    """Pairs of vectors nearer than ``threshold`` by cosine, both ways round: only they leave the product of two blocks."""
-    return _block_products(nodes, block, lambda s: np.nonzero(s > threshold)).where(F.col("id") != F.col("other"))
+def near_vectors(nodes: DataFrame, threshold: float, block: int = 4096) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A function of two tables of ids that gives ``u, v``: ids of the first and those of the second nearer than ``threshold`` by cosine."""
+
+    def near(left: DataFrame, right: DataFrame) -> DataFrame:
+        found = _block_products(nodes.join(left, "id", "left_semi"), nodes.join(right, "id", "left_semi"), block, lambda s: np.nonzero(s > threshold))
+        return found.select(F.col("id").alias("u"), F.col("other").alias("v"))
+
+    return near
 
 
 def knn(nodes: DataFrame, k: int, min_similarity: float | None = None, block: int = 4096) -> DataFrame:
@@ -228,10 +237,10 @@ def knn(nodes: DataFrame, k: int, min_similarity: float | None = None, block: in
     """
 
     def top(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        best = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(s), 1))
         return np.repeat(np.arange(len(s)), best.shape[1]), best.ravel()
 
-    tops = _block_products(nodes, block, top)
+    tops = _block_products(nodes, nodes, block, top)
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), F.col("id") != F.col("other"), "other")
     out = tops.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return out if min_similarity is None else out.where(F.col("similarity") >= min_similarity)

@@ -779,6 +779,24 @@ def agreed_findings(spark, sf):
     return detect.consensus(rows, 3).select("category", F.col("votes").cast("long").alias("votes"), "severity", "headline")
 
 
+def _first_words(n: int):
+    return F.array_join(F.slice(F.split("text", r"\s+"), 1, n), " ")
+
+
+@query()
+def agreed_headlines(spark, sf):
+    """What two of three passes say alike in the first words of the documents, pass by pass in order of their number."""
+    docs = table(spark, sf, "documents").select(F.col("lang").alias("category"), (F.col("doc_id") % 3).cast("int").alias("pass_index"), F.col("doc_id").alias("ord"), F.element_at(F.array(*[F.lit(x) for x in ("info", "warning", "critical")]), (F.col("doc_id") % 3 + 1).cast("int")).alias("severity"), _first_words(9).alias("headline"), F.array("source").alias("affected_documents"))
+    return detect.consensus(docs, 3).select("category", "cluster", F.col("votes").cast("long").alias("votes"), "severity", "headline", F.size("documents").cast("long").alias("n_documents"))
+
+
+@query()
+def fuzzy_documents(spark, sf):
+    """Documents with an odd number as detections of those with an even one, by their first words: copies compete for one truth."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.col("lang").alias("type"), _first_words(6).alias("text"))
+    return evaluate.fuzzy_metrics(docs.where("ord % 2 = 1"), docs.where("ord % 2 = 0")).select("tp", "fp", "fn")
+
+
 @query("""select least(a, b) as lo, greatest(a, b) as hi, min(k) as k from (select 'c' || o_custkey as a, 'd' || (o_orderkey % 10) as b, o_orderkey as k from orders union all select 'd' || (o_orderkey % 10), 'c' || o_custkey, o_orderkey + 1 from orders) group by 1, 2""")
 def once_per_pair(spark, sf):
     o = table(spark, sf, "orders")
