@@ -14,6 +14,8 @@ KEYWORD_STOP = (
     "and or but not with from by into it its this that we our all use uses used than"
 ).split()
 UNIT_STOP = "per hour hours min minute minutes day days week weeks month months second seconds".split()
+# Words that don't tell what a claim is about.
+CLAIM_STOP = "the and for are with per our all must can may will from that this have each not but should any been".split()
 TOPIC_STOP = "services project company classic document created space pages https about which their there these those would could should other after before".split()
 MONTHS = "january february march april may june july august september october november december".split()
 MONTH = "(?:" + "|".join(MONTHS) + ")"
@@ -59,7 +61,7 @@ def topic_words(c: Column) -> Column:
 
 
 def claim_stems(c: Column) -> Column:
-    """Keywords of a claim with common endings cut: ing over five characters, ed and es over four, s over three."""
+    """Words of a claim of three characters or more that tell its topic, with common endings cut: ing over five characters, ed and es over four, s over three."""
 
     def stem(w: Column) -> Column:
         n = F.length(w)
@@ -71,7 +73,8 @@ def claim_stems(c: Column) -> Column:
             .otherwise(w)
         )
 
-    return F.array_distinct(F.transform(keywords(c), stem))
+    words = F.filter(F.split(F.lower(_text(c)), r"\W+"), lambda w: F.length(w) > 2)
+    return F.array_distinct(F.transform(_without(words, CLAIM_STOP), stem))
 
 
 def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:

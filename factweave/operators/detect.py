@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from factweave.functions.extract import COMPLETION, deadlines
 from factweave.functions.scores import round_half_up
 from factweave.functions.text import B0, B1, SPACES, claim_stems, clean_excerpt, dated_mentions, jaccard, tokenize, topic_words
+from factweave.operators.firstpairs import first_pairs
 from factweave.operators.graph import connected_components
 from factweave.operators.greedy import shared_prefixes, take_in_order
 from factweave.operators.pairs import boost_severity, edge_contradictions, heuristic_contradictions, near_vectors, node_text, overlap_pairs, prefilter
@@ -115,20 +116,40 @@ def _unordered(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def split_truth_candidates(nodes: DataFrame, edges: DataFrame, limit: int | None = 20) -> DataFrame:
-    """Pairs without an edge that share a token of title and facts, one with facts, in order: ``a, b, ord_a, ord_b``."""
-    rows = nodes.select("id", "ord", F.size("facts").alias("n"), tokenize(F.concat_ws(" ", "title", F.array_join("facts", " "))).alias("tokens"))
-    met = overlap_pairs(rows, 1).select("a", "b").join(rows.alias("x"), F.col("a") == F.col("x.id")).join(rows.alias("y"), F.col("b") == F.col("y.id")).where("x.n > 0 or y.n > 0")
-    met = met.join(_unordered(edges, "source_id", "target_id"), (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left_anti")
-    first = F.when(F.col("x.ord") < F.col("y.ord"), F.struct("a", "b", F.col("x.ord").alias("ord_a"), F.col("y.ord").alias("ord_b"))).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("y.ord").alias("ord_a"), F.col("x.ord").alias("ord_b")))
-    out = met.select(first.alias("p")).select("p.*")
-    return out if limit is None else out.orderBy("ord_a", "ord_b").limit(limit)
+    """The first pairs without an edge that share a token of title and facts, one with facts, in order: ``a, b, ord_a, ord_b``.
+
+    They come from postings that stop (``firstpairs.first_pairs``); all of them are made only without a ``limit``.
+    """
+    rows = stage(nodes.select("id", F.col("ord").cast("long").alias("ord"), F.coalesce(F.size("facts"), F.lit(0)).alias("n"), tokenize(F.concat_ws(" ", "title", F.array_join("facts", " "))).alias("tokens")), "split-truth")
+    linked = _unordered(edges, "source_id", "target_id")
+    sides = [rows.select(F.col("ord").alias(f"ord_{k}"), F.col("id").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab"]
+
+    def allowed(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(sides[0], "ord_a").join(sides[1], "ord_b").where("n_a > 0 or n_b > 0")
+        return met.join(linked, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left_anti").select("ord_a", "ord_b")
+
+    if limit is None:
+        met = overlap_pairs(rows.select(F.col("ord").alias("id"), "tokens"), 1).select(F.col("a").alias("ord_a"), F.col("b").alias("ord_b"))
+        out = allowed(met)
+    else:
+        out = first_pairs(rows, limit, allowed)
+    return out.join(sides[0], "ord_a").join(sides[1], "ord_b").select("a", "b", "ord_a", "ord_b")
 
 
 def claim_pairs(claims: DataFrame, limit: int | None = 100) -> DataFrame:
-    """Claims ``ord, text, node_id, source_file`` of two files that share a stemmed keyword, in order: ``ord_a, ord_b``."""
-    rows = claims.select("ord", "source_file", F.explode(claim_stems(F.col("text"))).alias("stem"))
-    met = rows.alias("x").join(rows.alias("y"), "stem").where("x.ord < y.ord and x.source_file <> y.source_file").select(F.col("x.ord").alias("ord_a"), F.col("y.ord").alias("ord_b")).distinct()
-    return met if limit is None else met.orderBy("ord_a", "ord_b").limit(limit)
+    """The first pairs of claims ``ord, text, source_file`` of two files that share a stem, in order: ``ord_a, ord_b``.
+
+    As for ``split_truth_candidates``, all pairs are made only without a ``limit``. A missing file is a file of its own.
+    """
+    rows = stage(claims.select(F.col("ord").cast("long").alias("ord"), "source_file", claim_stems(F.col("text")).alias("tokens")), "claims")
+    sides = [rows.select(F.col("ord").alias(f"ord_{k}"), F.col("source_file").alias(f"file_{k}")) for k in "ab"]
+
+    def allowed(pairs: DataFrame) -> DataFrame:
+        return pairs.join(sides[0], "ord_a").join(sides[1], "ord_b").where(~F.col("file_a").eqNullSafe(F.col("file_b"))).select("ord_a", "ord_b")
+
+    if limit is not None:
+        return first_pairs(rows, limit, allowed)
+    return allowed(overlap_pairs(rows.select(F.col("ord").alias("id"), "tokens"), 1).select(F.col("a").alias("ord_a"), F.col("b").alias("ord_b")))
 
 
 def claim_comparison_candidates(nodes: DataFrame, seen: DataFrame, limit: int = 30) -> DataFrame:
