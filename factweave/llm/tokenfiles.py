@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import itertools
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -18,7 +20,9 @@ from factweave.llm.spans import broadcast_if
 from factweave.plans.staging import shared_dir
 
 #: Words whose ids a worker keeps; beyond, it starts anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 600_000
+#: Letters, then marks that no rule of a vocabulary joins with them.
+LETTERS_AND_MARKS = re.compile(r"([^\W\d_]+)([.,;:!?)\]]+)")
 #: Bits of ``seq`` that number the rows of a file.
 ROW_BITS = 33
 
@@ -30,45 +34,77 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-@functools.cache
-def _tokenizer(name: str, path: str | None):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path or vocabulary(name))
-
-
 class WordIds:
-    """Ids of words as bytes (32-bit little-endian), made by the tokenizer once per word.
+    """Ids of words as bytes (32-bit integers), made by the tokenizer once per word.
 
-    The vocabulary drops white space and never joins characters across it, so a text's ids are those of its words.
+    The vocabulary drops white space, never joins characters across it, and parts letters from marks, so a text's ids are
+    those of its words, and a word's those of its letters and of the marks behind them. The first ``KEPT_WORDS`` words stay
+    known; later ones are made again in each lot that has them.
     """
 
     def __init__(self, name: str, path: str | None):
-        self.tokenizer, self.known = _tokenizer(name, path), {}
-
-    def of(self, texts: list[str | None], end: int) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        new = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known = {}
-            new = {w for words in split for w in words}
-        order = list(new)
-        for lot in range(0, len(order), 50_000):
-            part = order[lot : lot + 50_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<i4").tobytes()
-        last, get = np.array([end], "<i4").tobytes(), self.known.__getitem__
-        return [b"".join([*map(get, words), last]) for words in split]
-
-
-def _as_lists(rows: list[bytes]) -> pa.Array:
-    """``list<int32>`` of rows of 32-bit integers."""
-    data = np.frombuffer(b"".join(rows), "<i4")
-    offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows], dtype=np.int64)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(data, pa.int32()))
-
-
-def _slices(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.known = Tokenizer.from_file(path or vocabulary(name)), {}
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<i4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Of words of letters alone: these are encoded as one text, which tells where a word's ids end."""
+        if not words:
+            return []
+        got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        word = np.array(got.word_ids)
+        at = np.flatnonzero(np.diff(word, prepend=-1))
+        if len(at) != len(words):  # a letter that the tokenizer doesn't take for one
+            return self._each(words)
+        ids = np.array(got.ids, "<i4").tobytes()
+        cuts = [*(at * 4).tolist(), len(ids)]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        """Ids of words that aren't known, and from now on are if there is room."""
+        parts = [(t, "") if t.isalpha() else m.groups() if (m := LETTERS_AND_MARKS.fullmatch(t)) else (t, "") for t in words]
+        # letters A-Z alone are made small here, as the vocabulary does with all, so that more words are known
+        parts = [(a.lower() if a.isascii() and a.isalpha() else a, b) for a, b in parts]
+        ids = {a: self.known.get(a) for a, _ in parts if a.isalpha()} | {"": b""}
+        heads = [a for a, known in ids.items() if known is None]
+        ids |= zip(heads, self._letters(heads), strict=True)
+        rest = list({x for p in parts for x in p if x not in ids})
+        ids |= zip(rest, self._each(rest), strict=True)
+        out = [ids[a] + ids[b] for a, b in parts]
+        room = max(0, KEPT_WORDS - len(self.known)) // 2
+        self.known |= itertools.islice(zip(words, out, strict=True), room)
+        self.known |= itertools.islice(((a, ids[a]) for a in heads), room)
+        return out
+
+    def of(self, texts: pa.Array, end: int) -> pa.ListArray:
+        """The ids of each text, with ``end`` behind them. White space parts words, blanks at a text's ends leave empty ones."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = words.flatten().dictionary_encode()
+        here = coded.dictionary.to_pylist()
+        ids = [*map(self.known.get, here)]
+        missing = [k for k, known in enumerate(ids) if known is None]
+        for k, new in zip(missing, self._new([here[k] for k in missing]), strict=True):
+            ids[k] = new
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(size) - size
+        word = np.asarray(coded.indices)
+        n = size[word]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        flat = np.frombuffer(b"".join(ids), "<i4")[np.repeat(first[word] - upto[:-1], n) + np.arange(upto[-1])]
+        cuts = upto[np.asarray(words.offsets) - words.offsets[0].as_py()]
+        return pa.ListArray.from_arrays(pa.array((cuts + np.arange(len(cuts))).astype(np.int32)), pa.array(np.insert(flat, cuts[1:], end), pa.int32()))
+
+
+@functools.cache
+def _word_ids(name: str, path: str | None) -> WordIds:
+    """One for all tasks of a worker."""
+    return WordIds(name, path)
+
+
+def _slices(column: pa.Array, most: int = 6_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of a string column with about ``most`` bytes each, at least one row."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
     at = np.searchsorted(np.cumsum(sizes), np.arange(most, int(sizes.sum()) + most, most)) + 1
@@ -91,12 +127,11 @@ def write_tokens(docs: DataFrame, path: str, encoding: str = "dictionary", end:
         raise ValueError(f"encoding {encoding!r}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(name, tokenizer_path)
+        words = _word_ids(name, tokenizer_path)
         for batch in batches:
             for a, b in _slices(batch.column("text")):
-                rows = words.of(batch.column("text").slice(a, b - a).to_pylist(), end)
-                n = pa.array([len(r) // 4 for r in rows], pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), n, _as_lists(rows)], ["doc_id", "n_tokens", "ids"])
+                lists = words.of(batch.column("text").slice(a, b - a), end)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pc.list_value_length(lists), lists], ["doc_id", "n_tokens", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("copy"))
