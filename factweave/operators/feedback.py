@@ -52,14 +52,19 @@ def conflicting_corrections(signals: DataFrame) -> DataFrame:
     return met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.sort_array(F.collect_set("node")).alias("shared_nodes"))
 
 
+def scored_pairs(corrections: DataFrame) -> DataFrame:
+    """Valid corrections with a ``score`` of 0.4 or more as preference pairs; confidence 1.0 from 0.8, else 0.6."""
+    rows = validate_corrections(corrections).where("valid").where((F.col("score") >= 0.4) & ~is_uuid_list(F.col("original_question")))
+    return rows.select("id", F.col("original_question").alias("prompt"), F.col("corrected_answer").alias("chosen"), F.col("original_answer").alias("rejected"), F.when(F.col("score") >= 0.8, 1.0).otherwise(0.6).alias("confidence"), "created_at")
+
+
 def corrections_to_pairs(corrections: DataFrame, scores: DataFrame) -> DataFrame:
-    """Valid corrections of users with a reputation of 0.4 (unknown: 0.5) as preference pairs; 1.0 from 0.8, else 0.6.
+    """Valid corrections of users with a reputation of 0.4 (unknown: 0.5) as preference pairs.
 
     A stream of corrections joins the table of scores as it is at each batch.
     """
-    rows = validate_corrections(corrections).where("valid").join(scores.select(F.col("user_id").alias("__u"), "score"), F.col("user_id") == F.col("__u"), "left")
-    rows = rows.withColumn("score", F.coalesce("score", F.lit(0.5))).where((F.col("score") >= 0.4) & ~is_uuid_list(F.col("original_question")))
-    return rows.select("id", F.col("original_question").alias("prompt"), F.col("corrected_answer").alias("chosen"), F.col("original_answer").alias("rejected"), F.when(F.col("score") >= 0.8, 1.0).otherwise(0.6).alias("confidence"), "created_at")
+    rows = corrections.join(scores.select(F.col("user_id").alias("__u"), "score"), F.col("user_id") == F.col("__u"), "left")
+    return scored_pairs(rows.withColumn("score", F.coalesce("score", F.lit(0.5))))
 
 
 def retrain_decision(pairs: DataFrame, history: DataFrame, as_of: Column, min_pairs: int = 50, max_hours: int = 168, few_pairs: int = 10, sft_below: int = 20) -> DataFrame:

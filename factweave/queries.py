@@ -406,6 +406,38 @@ def reputation_streaming(spark, sf):
     return _streamed(spark, sf, make)
 
 
+_KINDS_SQL = "case event_type when 'purchase' then 'corrected' when 'signup' then 'shared' when 'error' then 'rejected' when 'view' then 'accepted' when 'click' then 'escalated' else 'follow_up' end"
+
+
+@query(f"""with s as (select event_id, user_id, ts, {_KINDS_SQL} as kind, value from events), r as (select *, count(*) over w as n, 2 * count(*) filter (where kind = 'corrected') over w + count(*) filter (where kind = 'shared') over w - count(*) filter (where kind in ('rejected', 'escalated')) over w as x
+from s window w as (partition by user_id order by ts range between unbounded preceding and interval 1 microsecond preceding)),
+p as (select *, case when n = 0 then 0.5::double else greatest(0.0::double, least(1.0::double, x / (n + 10.0::double))) end as score from r where kind = 'corrected')
+select event_id::varchar as id, 'use ' || value::decimal(18,2)::varchar as chosen, case when score >= 0.8 then 1.0::double else 0.6::double end as confidence from p where score >= 0.4""")
+def pairs_at_once(spark, sf):
+    """Corrections out of the event log as a stream, each with its user's reputation at its own time."""
+
+    def make(raw, path):
+        kinds = F.create_map(*[F.lit(x) for kv in {"purchase": "corrected", "signup": "shared", "error": "rejected", "view": "accepted", "click": "escalated"}.items() for x in kv])
+        s = raw.select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("user_id"), F.coalesce(F.try_element_at(kinds, F.col("event_type")), F.lit("follow_up")).alias("signal_type"), F.col("ts").cast("timestamp").alias("created_at"), F.lit("What now?").alias("original_question"), F.lit("use none").alias("original_answer"), F.concat(F.lit("use "), F.col("value").cast("decimal(18,2)").cast("string")).alias("corrected_answer"))
+        q = feeds.pairs_stream(s, "3650 days").writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.read.parquet(f"{path}/out").select("id", "chosen", "confidence")
+
+    return _streamed(spark, sf, make)
+
+
+@query("select user_id::varchar as id, value from events where event_type <> 'error' qualify row_number() over (partition by user_id order by event_id desc) = 1 and event_id = (select max(e.event_id) from events e where e.user_id = events.user_id)")
+def synced_users(spark, sf):
+    """The last value of each user, kept in step with the event log as a stream; an error deletes the user."""
+
+    def make(raw, path):
+        changes = raw.select(F.col("user_id").cast("string").alias("id"), "value", F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("action"), F.col("event_id").alias("changed_at"))
+        feeds.sync_stream(changes, f"{path}/table", f"{path}/cp", 16).awaitTermination()
+        return feeds.read_synced(spark, f"{path}/table", changes.select("id", "value").schema)
+
+    return _streamed(spark, sf, make)
+
+
 # --- evaluation -----------------------------------------------------------------------------------------------------------
 @query("""with e as (select doc_id from labels where quality = 0), t as (select doc_id from labels where toxic = 1), c as (select (select count(*) from e join t using (doc_id)) as tp, (select count(*) from t where doc_id not in (select doc_id from e)) as fp, (select count(*) from e where doc_id not in (select doc_id from t)) as fn)
 select tp, fp, fn, round(tp / (tp + fp), 9) as precision, round(tp / (tp + fn), 9) as recall from c""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factweave.functions.text import CLAIM_STOP, TOKEN_STOP
-from factweave.operators import detect
+from factweave.operators import detect, vectorlists
 from factweave.plans.domain import table
 from factweave.registry import query
 
@@ -42,3 +42,11 @@ def split_truths(spark, sf):
     nodes = docs.select(name(0).alias("id"), F.col("doc_id").alias("ord"), F.when(told, _head(4)).otherwise(_head()).alias("title"), F.when(told, F.array(_head(8, 5))).otherwise(F.array().cast("array<string>")).alias("facts"))
     edges = docs.where("doc_id % 2 = 0").select(name(0).alias("source_id"), name(1).alias("target_id"))
     return detect.split_truth_candidates(nodes, edges).select("a", "b")
+
+
+@query("""select id, other, round(s, 5) as similarity from (select a.vec_id::varchar as id, b.vec_id::varchar as other, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s,
+row_number() over (partition by a.vec_id order by list_cosine_similarity(a.embedding::double[], b.embedding::double[]) desc) as k from embeddings a, embeddings b) where k <= 5 and s >= 0.5""")
+def listed_neighbours(spark, sf):
+    """The same neighbours as of all cosines, found by inverted lists."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    return vectorlists.knn_lists(vectors, 5, 0.5)[0].select("id", "other", F.round("similarity", 5).alias("similarity"))

@@ -178,7 +178,37 @@ def test_sync_stream(spark, tmp_path):
     feeds.sync_stream(stream, out, cp).awaitTermination()
     spark.createDataFrame([("a", 2, "upsert", 2), ("b", 0, "delete", 2)], "id string, v int, action string, changed_at int").write.mode("append").parquet(src)
     feeds.sync_stream(stream, out, cp).awaitTermination()
-    assert [(r.id, r.v) for r in spark.read.parquet(f"{out}/v=1").collect()] == [("a", 2)]
+    schema = spark.createDataFrame([], "id string, v int").schema
+    assert [(r.id, r.v) for r in feeds.read_synced(spark, out, schema).collect()] == [("a", 2)]
+    assert len(feeds.read_synced(spark, out, schema, 0).collect()) == 2
+    # many keys, then one: only its bucket is written again; then all go, and one comes back
+    spark.range(500).selectExpr("concat('k', id) as id", "1 as v", "'upsert' as action", "3 as changed_at").write.mode("append").parquet(src)
+    feeds.sync_stream(stream, out, cp).awaitTermination()
+    before = feeds.synced_buckets(spark, out)
+    spark.createDataFrame([("k7", 9, "upsert", 4)], "id string, v int, action string, changed_at int").write.mode("append").parquet(src)
+    feeds.sync_stream(stream, out, cp).awaitTermination()
+    after = feeds.synced_buckets(spark, out)
+    assert before.keys() == after.keys() and sum(before[b] != after[b] for b in after) == 1
+    assert {r.id: r.v for r in feeds.read_synced(spark, out, schema).where("id in ('k7', 'k8')").collect()} == {"k7": 9, "k8": 1}
+    feeds.read_synced(spark, out, schema).selectExpr("id", "v", "'delete' as action", "5 as changed_at").write.mode("append").parquet(src)
+    feeds.sync_stream(stream, out, cp).awaitTermination()
+    assert feeds.read_synced(spark, out, schema).count() == 0 and feeds.synced_buckets(spark, out) == {}
+
+
+def test_pairs_stream(spark, tmp_path):
+    """In two batches: a correction counts the signals before its own time, whenever they came, and none after it."""
+    schema = "id string, user_id string, signal_type string, created_at timestamp, original_question string, original_answer string, corrected_answer string"
+    day = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(days=k)
+    told = lambda i, u, k, answer="b": (i, u, "corrected", day(k), "what?", "a", answer)
+    one = [told("1", "u", 0), *[(f"s{k}", "u", "shared", day(k), None, None, None) for k in range(1, 60)], told("2", "u", 100), told("3", "u", 101, "a"), told("4", None, 1)]
+    two = [told("5", "u", 20), told("6", "v", 5), *[(f"r{k}", "u", "rejected", day(200 + k), None, None, None) for k in range(60)], told("7", "u", 300), told("8", "u", 110)]
+    src, got = str(tmp_path / "in"), {}
+    for rows in (one, two):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        q = feeds.pairs_stream(spark.readStream.schema(schema).parquet(src), "1000 days").writeStream.foreachBatch(lambda b, n: got.update({r.id: (r.confidence, r.created_at) for r in b.collect()})).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    # 2: (2 + 59) / 70; 5: (2 + 19) / 30; 8: (8 + 59) / 73; 7 counts the rejections: (10 + 59 - 60) / 134; 3 is no correction
+    assert {k: v[0] for k, v in got.items()} == {"1": 0.6, "2": 1.0, "4": 0.6, "5": 0.6, "6": 0.6, "8": 1.0}
 
 
 def test_health_and_diff(spark):
