@@ -137,13 +137,18 @@ def owner_of(text: Column, entity: Column) -> Column:
     return F.try_element_at(names, F.lit(1))
 
 
+def trimmed(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, rf"^[{SPACES}]+|[{SPACES}]+$", "")
+
+
 def clean_excerpt(c: Column, limit: int = 250) -> Column:
-    """Blanks collapsed, at most ``limit`` characters: cut after a sentence past 30 characters, else at a blank."""
-    flat = F.trim(F.regexp_replace(_text(c), r"\s+", " "))
+    """Blanks collapsed, at most ``limit`` characters: cut after the last sentence that ends past 30, else at the last blank past 30, with dots."""
+    flat = trimmed(F.regexp_replace(_text(c), rf"[{SPACES}]+", " "))
     head = F.substring(flat, 1, limit)
-    sentence = F.regexp_extract(head, r"^(.{30,}[.!?])(?:\s|$)", 1)
-    word = F.regexp_extract(head, r"^(.+)\s", 1)
-    return F.when(F.length(flat) <= limit, flat).when(sentence != "", sentence).when(word != "", word).otherwise(head)
+    sentence = F.regexp_extract(head, r"(?s)^(.{31,}[.!?]) ", 1)
+    word = F.regexp_extract(head, r"(?s)^(.{31,}) ", 1)
+    return F.when(F.length(flat) <= limit, flat).when(sentence != "", sentence).otherwise(F.concat(F.when(word != "", word).otherwise(head), F.lit("…")))
 
 
 def headline(topic: Column, description: Column) -> Column:

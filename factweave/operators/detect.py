@@ -194,11 +194,15 @@ def attach_context(detections: DataFrame, nodes: DataFrame) -> DataFrame:
 
 @dataclass
 class Detector:
-    """A function ``(nodes, edges, as_of) -> detections`` with a name and, if wanted, a candidate filter ``(k, similarity)``."""
+    """A function ``(nodes, edges, as_of) -> detections`` with a name and, if wanted, a candidate filter ``(k, similarity)``.
+
+    With a context provider ``context``, a function ``(nodes, edges) -> packages``, the detector gets its packages as a fourth argument.
+    """
 
     name: str
-    fn: Callable[[DataFrame, DataFrame, Column], DataFrame]
+    fn: Callable[..., DataFrame]
     near: tuple[int, float] | None = None
+    context: Callable[[DataFrame, DataFrame], DataFrame] | None = None
 
 
 def _detections(df: DataFrame, kind: str, node_ids: Column, severity: Column, description: Column) -> DataFrame:
@@ -244,7 +248,8 @@ def run_detectors(nodes: DataFrame, edges: DataFrame, as_of: Column, detectors:
     out = None
     for d in detectors:
         n, e = prefilter(nodes, edges, *d.near) if d.near else (nodes, edges)
-        rows = d.fn(n, e, as_of).withColumn("detector", F.lit(d.name))
+        given = (d.context(n, e),) if d.context else ()
+        rows = d.fn(n, e, as_of, *given).withColumn("detector", F.lit(d.name))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions.scores import SIGNALS, clamp01
-from factweave.functions.text import is_uuid_list
+from factweave.functions.text import is_uuid_list, trimmed
 from factweave.operators.filters import validate_corrections
+from factweave.operators.pairs import differing_pairs
 
 
 def reputation_of(n: Column, corrected: Column, shared: Column, rejected: Column, escalated: Column) -> Column:
@@ -42,14 +43,32 @@ def conversation_signals(signals: DataFrame, conversation: str) -> DataFrame:
     return signals.where(F.col("conversation_id") == conversation).orderBy("created_at", "id")
 
 
+def _corrected_nodes(signals: DataFrame) -> DataFrame:
+    """Corrections with a text, once per question node: ``id, user_id, correction_text, node``."""
+    rows = signals.where("signal_type = 'corrected' and trim(coalesce(correction_text, '')) <> ''")
+    return rows.select("id", "user_id", "correction_text", F.explode(F.array_distinct("question_node_ids")).alias("node"))
+
+
+def conflict_totals(signals: DataFrame) -> DataFrame:
+    """A row per question node: ``node, n_corrections, n_texts, n_users, n_links``, links being pairs of two users with different texts.
+
+    All pairs, less those of one user and those of one text, and those of both again; so no pair is made.
+    """
+    pairs = lambda n: F.col(n) * (F.col(n) - 1) / 2
+    both = _corrected_nodes(signals).groupBy("node", "user_id", "correction_text").agg(F.count("*").alias("n")).withColumn("same", pairs("n"))
+    by = {c: both.groupBy("node", c).agg(F.sum("n").alias("n")).groupBy("node").agg(F.count("*").alias(f"n_{c}"), F.sum(pairs("n")).alias(f"of_{c}")) for c in ("user_id", "correction_text")}
+    out = both.groupBy("node").agg(F.sum("n").alias("n"), F.sum("same").alias("same")).join(by["user_id"], "node").join(by["correction_text"], "node")
+    links = pairs("n") - F.col("of_user_id") - F.col("of_correction_text") + F.col("same")
+    return out.select("node", F.col("n").alias("n_corrections"), F.col("n_correction_text").alias("n_texts"), F.col("n_user_id").alias("n_users"), links.cast("long").alias("n_links"))
+
+
 def conflicting_corrections(signals: DataFrame) -> DataFrame:
     """Corrections of two users on shared question nodes with different texts: ``a, b, shared_nodes``.
 
-    Per node, equal texts of a user meet once. A pair meets at each shared node, and is gathered with the nodes.
+    Corrections of one text never meet (``pairs.differing_pairs``). A pair meets at each shared node, and is gathered with the nodes.
     """
-    rows = signals.where("signal_type = 'corrected' and trim(coalesce(correction_text, '')) <> ''").select("id", "user_id", "correction_text", F.explode(F.array_distinct("question_node_ids")).alias("node"))
-    met = rows.alias("x").join(rows.alias("y"), "node").where("x.id < y.id and x.user_id <> y.user_id and x.correction_text <> y.correction_text")
-    return met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.sort_array(F.collect_set("node")).alias("shared_nodes"))
+    met = differing_pairs(_corrected_nodes(signals), "node", "correction_text").where("x.user_id <> y.user_id")
+    return met.groupBy(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).agg(F.sort_array(F.collect_set("x.node")).alias("shared_nodes"))
 
 
 def scored_pairs(corrections: DataFrame) -> DataFrame:
@@ -77,7 +96,19 @@ def retrain_decision(pairs: DataFrame, history: DataFrame, as_of: Column, min_pa
     return row.select("new_pairs", "hours", (why != "wait").alias("train"), why.alias("reason"), F.when(F.col("new_pairs") < sft_below, "sft").otherwise("dpo").alias("method"))
 
 
-def question_text(content: Column, description: Column, titles: Column, summary: Column) -> Column:
-    """A question out of what is there: first content line, description, titles, summary."""
-    line = F.nullif(F.trim(F.regexp_replace(F.element_at(F.split(F.coalesce(content, F.lit("")), "\n"), 1), r"^#+\s*", "")), F.lit(""))
-    return F.coalesce(line, F.nullif(F.substring(description, 1, 120), F.lit("")), F.nullif(F.array_join(titles, " / "), F.lit("")), summary)
+def content_question(content: Column) -> Column:
+    """A question about what a text begins with: its first line, at most 80 characters."""
+    line = trimmed(F.element_at(F.split(F.coalesce(content, F.lit("")), "\n"), 1))
+    return F.concat(F.lit("What is the current policy on "), F.substring(line, 1, 80), F.lit("?"))
+
+
+def detection_question(description: Column, titles: Column, summaries: Column) -> Column:
+    """A question about a detection: by its description (120 characters), else its nodes' titles, else the first summary; else null."""
+    told = trimmed(F.coalesce(description, F.lit("")))
+    some = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: trimmed(F.coalesce(x, F.lit(""))) != "")
+    by_titles = F.concat(F.lit("What is the current policy on "), F.array_join(some(titles), " and "), F.lit("?"))
+    return (
+        F.when(told != "", F.concat(F.lit("What is the correct information regarding: "), F.substring(told, 1, 120)))
+        .when(F.size(some(titles)) > 0, by_titles)
+        .when(F.size(some(summaries)) > 0, content_question(F.try_element_at(some(summaries), F.lit(1))))
+    )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from factweave.functions.extract import context_numbers, number_facts
 from factweave.functions.scores import cosine
 from factweave.functions.text import B0, B1, approximate_dates, keywords, long_sentences, owner_of, title_words
+from factweave.plans.staging import stage
 
 # Phrases that exclude each other, with their labels, in order.
 POLICY_RULES = (
@@ -126,12 +127,51 @@ def policy_contradictions(nodes: DataFrame, rules: Sequence[tuple[str, str, str,
     return met.join(rows.alias("x"), F.col("a") == F.col("x.id")).join(rows.alias("y"), F.col("b") == F.col("y.id")).where(_different() & same_topic("x", "y")).select("a", "b", "rule")
 
 
+#: Members of one group that meet in one task, about.
+MET = 2048
+
+
+def differing_pairs(members: DataFrame, key: str, value: str) -> DataFrame:
+    """``x, y``: structs of all two members of one ``key`` whose ``value`` differs, the smaller value first.
+
+    Groups of one key and value meet first, so members that agree never do, however many they are. Large groups are dealt out
+    on both sides: each part of one meets each part of the other in a task of its own.
+    """
+    cells = F.struct(*[F.col(c) for c in members.columns])
+    parts = F.ceil(F.col("n") / MET).cast("long")
+    groups = members.groupBy(key, value).agg(F.count("*").alias("n")).withColumn("parts", parts)
+    g = groups.select(key, value, "parts")
+    side = members.join(g, [key, value]).select(F.col(key).alias("k"), F.col(value).alias("v"), F.pmod(F.xxhash64(cells), F.col("parts")).alias("p"), cells.alias("c"))
+    met = g.select(F.col(key).alias("k"), F.col(value).alias("v1"), F.col("parts").alias("n1")).join(g.select(F.col(key).alias("k"), F.col(value).alias("v2"), F.col("parts").alias("n2")), "k").where("v1 < v2")
+    met = met.withColumn("p1", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n1") - 1))).withColumn("p2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n2") - 1))).select("k", "v1", "v2", "p1", "p2")
+    x = side.select("k", F.col("v").alias("v1"), F.col("p").alias("p1"), F.col("c").alias("x"))
+    y = side.select("k", F.col("v").alias("v2"), F.col("p").alias("p2"), F.col("c").alias("y"))
+    return met.join(x, ["k", "v1", "p1"]).join(y, ["k", "v2", "p2"]).select("x", "y")
+
+
+def owned_entities(nodes: DataFrame) -> DataFrame:
+    """Whom each node names as the owner of its entities: ``id, ord, pos, entity, owner``; an entity's first place counts."""
+    named = nodes.select("id", "ord", node_text().alias("body"), F.posexplode(F.transform("entities", lambda e: F.lower(e["name"]))).alias("pos", "entity")).where(F.length("entity") > 3)
+    owned = named.withColumn("owner", owner_of(F.col("body"), F.col("entity"))).where("owner is not null")
+    return owned.groupBy("id", "ord", "entity", "owner").agg(F.min("pos").alias("pos"))
+
+
+def ownership_totals(nodes: DataFrame) -> DataFrame:
+    """A row per entity: ``entity, n_nodes, n_owners, n_links``, links being the pairs of nodes that name different owners.
+
+    They are told by counts, so an entity that all nodes name costs no more than its owners; ``ownership_conflicts`` makes the pairs.
+    """
+    by_owner = owned_entities(nodes).groupBy("entity", "owner").agg(F.count("*").alias("n"))
+    out = by_owner.groupBy("entity").agg(F.sum("n").alias("n_nodes"), F.count("*").alias("n_owners"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    return out.select("entity", "n_nodes", "n_owners", F.floor((F.col("n_nodes") * F.col("n_nodes") - F.col("same")) / 2).cast("long").alias("n_links"))
+
+
 def ownership_conflicts(nodes: DataFrame) -> DataFrame:
     """Pairs that name different owners of one entity: ``a, b, entity, owner_a, owner_b``, the first entity of ``a``."""
-    named = nodes.select("id", "ord", node_text().alias("body"), F.posexplode(F.transform("entities", lambda e: F.lower(e["name"]))).alias("pos", "entity")).where(F.length("entity") > 3)
-    owned = named.withColumn("owner", owner_of(F.col("body"), F.col("entity"))).where("owner is not null").select("id", "ord", "pos", "entity", "owner")
-    met = owned.alias("x").join(owned.alias("y"), "entity").where("x.ord < y.ord and x.owner <> y.owner")
-    first = F.min(F.struct(F.col("x.pos").alias("pos"), "entity", F.col("x.owner").alias("owner_a"), F.col("y.owner").alias("owner_b"))).alias("hit")
+    met = differing_pairs(stage(owned_entities(nodes), "owners"), "entity", "owner")
+    turned = F.col("x.ord") < F.col("y.ord")
+    met = met.select(F.when(turned, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(turned, F.col("y")).otherwise(F.col("x")).alias("y")).where("x.ord < y.ord")
+    first = F.min(F.struct(F.col("x.pos").alias("pos"), F.col("x.entity").alias("entity"), F.col("x.owner").alias("owner_a"), F.col("y.owner").alias("owner_b"))).alias("hit")
     return met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(first).select("a", "b", "hit.entity", "hit.owner_a", "hit.owner_b")
 
 
@@ -259,11 +299,15 @@ def knn_buckets(nodes: DataFrame, k: int, min_similarity: float, tables: int = 8
 
 
 def prefilter(nodes: DataFrame, edges: DataFrame, k: int, min_similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Nodes that are near another, and edges that touch one of them."""
-    near = knn(nodes, k, min_similarity)
-    ids = near.select("id").union(near.select("other")).distinct()
-    touched = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").unionByName(edges.join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")).distinct()
-    return nodes.join(ids, "id", "left_semi"), touched
+    """What a detector with a candidate filter sees: nodes that are near another or themselves, and edges that touch one of them.
+
+    A node with a vector is near itself at any ``k`` and similarity, and neighbours have vectors; so these nodes are all those
+    with a vector, and no neighbour needs to be looked for.
+    """
+    near = nodes.where("embedding is not null and size(embedding) > 0")
+    ids = near.select("id").distinct()
+    touched = edges.join(ids.select(F.col("id").alias("source_id"), F.lit(True).alias("__s")), "source_id", "left").join(ids.select(F.col("id").alias("target_id"), F.lit(True).alias("__t")), "target_id", "left")
+    return near, touched.where("__s or __t").select(*edges.columns)
 
 
 # Phrases that oppose each other, and words that two contexts share by chance.

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factweave.functions.text import CLAIM_STOP, TOKEN_STOP
-from factweave.operators import detect, vectorlists
-from factweave.plans.domain import table
+from factweave.operators import answers, detect, feedback, hooks, pairs, vectorlists
+from factweave.plans import domain as d
+from factweave.plans.domain import EDGES_SQL, NODES_SQL, SIGNALS_SQL, table
 from factweave.registry import query
 
 
@@ -50,3 +51,102 @@ def listed_neighbours(spark, sf):
     """The same neighbours as of all cosines, found by inverted lists."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
     return vectorlists.knn_lists(vectors, 5, 0.5)[0].select("id", "other", F.round("similarity", 5).alias("similarity"))
+
+
+@query(f"""with {NODES_SQL}, o as (select distinct ord, e, replace(e2, '#', ' ') as owner from (select ord, unnest([e1, e2, e3]) as e, e1, e2 from nodes) where len(e) > 3 and contains(e1, e)),
+n as (select e, count(*) as n, count(distinct owner) as o from o group by e) select n.e as entity, n.n as n_nodes, n.o as n_owners, (select count(*) from o a join o b on a.e = b.e and a.ord < b.ord and a.owner <> b.owner where a.e = n.e) as n_links from n""")
+def owner_totals(spark, sf):
+    """How many pairs of nodes name different owners of an entity, without making them."""
+    return pairs.ownership_totals(d.nodes(spark, sf))
+
+
+@query(f"""with {SIGNALS_SQL}, c as (select * from signals where signal_type = 'corrected') select node, count(*) as n_corrections, count(distinct correction_text) as n_texts, count(distinct user_id) as n_users,
+(select count(*) from c a join c b on a.id < b.id and a.user_id <> b.user_id and a.correction_text <> b.correction_text where a.node = c.node and b.node = c.node) as n_links from c group by node""")
+def correction_totals(spark, sf):
+    """How many pairs of users correct a question node differently, without making them."""
+    return feedback.conflict_totals(d.signals(spark, sf))
+
+
+def _vector_nodes(spark, sf):
+    """Nodes with the vector of their number, if there is one."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("ord"), "embedding")
+    return d.nodes(spark, sf).drop("embedding").join(v, "ord", "left")
+
+
+@query(f"""with {EDGES_SQL}, v as (select 'part-' || vec_id as id from embeddings where vec_id % 3 > 0) select e.id, e.type from (select source_id || '>' || target_id || '>' || type as id, * from edges) e where source_id in (from v) or target_id in (from v)""")
+def candidate_edges(spark, sf):
+    """Edges that a detector with a candidate filter sees: two thirds of the nodes have a vector."""
+    return pairs.prefilter(_vector_nodes(spark, sf).withColumn("embedding", F.when(F.col("ord") % 3 > 0, F.col("embedding"))), d.edges(spark, sf), 10, 0.3)[1].select("id", "type")
+
+
+@query("""with n as (select p_partkey as k, p_name, p_partkey % 4 = 1 as late, p_partkey % 3 = 0 as done from part), w as (select distinct k, unnest(string_split(p_name || case when done then ' shipped' else '' end, ' ')) as w from n),
+m as (select n.k, o.k as other, o.p_name as title from n join w a using (k) join w b on a.w = b.w and len(a.w) >= 5 join n o on o.k = b.k and o.done and o.k <> n.k where n.late group by n.k, o.k, o.p_name having count(distinct a.w) >= 3)
+select 'by ' || k as label, min_by(m.title, m.other) as completed_by, case when count(m.other) > 0 then 'info' else 'warning' end as severity from n left join m using (k) where late group by k""")
+def completed_later(spark, sf):
+    """Deadlines of every fourth part that are over, and the first part, shipped, that shares three words with each."""
+    k, name = F.col("p_partkey"), F.concat(F.lit("part-"), F.col("p_partkey").cast("string"))
+    p = table(spark, sf, "part")
+    nodes = p.select(name.alias("id"), k.alias("ord"), F.col("p_name").alias("title"), F.array().cast("array<string>").alias("facts"), F.when(k % 3 == 0, "It shipped.").otherwise("").alias("summary"))
+    bombs = p.where(k % 4 == 1).select(F.concat(F.lit("by "), k.cast("string")).alias("label"), F.array(name).alias("node_ids"), F.lit(True).alias("expired"), F.lit("warning").alias("severity"))
+    return detect.completed_deadlines(bombs, nodes).select("label", "completed_by", "severity")
+
+
+@query("""with n as (select p_partkey as k, (p_partkey % 10) / 10.0::double as w, ['critical', 'warning', 'info', 'none'][p_partkey % 4 + 1] as severity from part), q as (select a.k, a.severity, 2 * greatest(0.0::double, least(1.0::double, 0.5 + greatest(a.w, b.w) + 0.5::double * least(a.w, b.w))) as m from n a join n b on b.k = a.k + 1 where a.k % 5 <> 0 and a.severity <> 'none')
+select 'part-' || k as a, 'part-' || (k + 1) as b, ['info', 'warning', 'critical'][greatest(1, least(3, floor(list_position(['info', 'warning', 'critical'], severity) * m + 0.5::double)))::int] as severity from q""")
+def package_findings(spark, sf):
+    """What a model finds in packages of two parts in a row; every fifth pair is known, and some answers name what isn't there."""
+    k, name = F.col("p_partkey"), lambda n: F.concat(F.lit("part-"), (F.col("p_partkey") + n).cast("string"))
+    p = table(spark, sf, "part")
+    packages = p.select(F.concat(F.lit("p"), k.cast("string")).alias("package"))
+    severity = F.element_at(F.array(*[F.lit(x) for x in ("critical", "warning", "info", "none")]), (k % 4 + 1).cast("int"))
+    one = F.struct(name(0).alias("nodeA"), name(1).alias("nodeB"), severity.alias("severity"), F.lit("They differ").alias("description"))
+    lost = F.struct(F.lit("nowhere").alias("nodeA"), name(1).alias("nodeB"), F.lit("critical").alias("severity"), F.lit("Who?").alias("description"))
+    responses = p.select(F.concat(F.lit("p"), k.cast("string")).alias("request_id"), F.to_json(F.struct(F.array(lost, one, one).alias("findings"))).alias("response"))
+    known = p.where(k % 5 == 0).select(name(1).alias("a"), name(0).alias("b"))
+    nodes = p.select(name(0).alias("id"), ((k % 10) / 10.0).alias("authority"))
+    return answers.apply_package_findings(packages, responses, nodes, known).select("a", "b", "severity")
+
+
+@query(f"""with {NODES_SQL}, v as (select vec_id as ord, embedding::double[] as x from embeddings), p as (select a.vec_id as a, b.vec_id as b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s, row_number() over (partition by a.vec_id order by list_cosine_similarity(a.embedding::double[], b.embedding::double[]) desc) as k
+from embeddings a join nodes n on n.ord = a.vec_id, embeddings b join nodes m on m.ord = b.vec_id), near as (select distinct least('part-' || a, 'part-' || b) as a, greatest('part-' || a, 'part-' || b) as b from p where k <= 10 and s >= 0.5 and 'part-' || a < 'part-' || b),
+e as (select id, ord, unnest([e1, e2, e3]) as e from nodes), shared as (select distinct x.id as a, y.id as b from e x join e y on x.e = y.e and x.id < y.id), pair as (select a, b, max(s) as s from (select a, b, 0 as s from near union all select a, b, 1 from shared) group by a, b),
+c as (select pair.*, list_cosine_similarity(va.x, vb.x) as cos from pair join nodes na on na.id = pair.a join nodes nb on nb.id = pair.b join v va on va.ord = na.ord join v vb on vb.ord = nb.ord)
+select a, b, 'related' as type, round(cos, 6) as similarity from c where cos >= 0.75 or (s = 1 and cos >= 0.5)""")
+def proposed_links(spark, sf):
+    """Links between nodes with near vectors, or less near ones and an entity in common."""
+    nodes = _vector_nodes(spark, sf).where("embedding is not null")
+    return pairs.propose_links(nodes).select("a", "b", "type", F.round("similarity", 6).alias("similarity"))
+
+
+def _remote_only(texts: list[str]) -> list[list[float] | None]:
+    """A vector for texts about remote work, none for others."""
+    return [[1.0, float(len(t) % 7)] if "remote-first" in t else None for t in texts]
+
+
+def _crowded(nodes, edges, as_of, packages):
+    """A detection for each package of five nodes or more."""
+    many = F.size("node_ids") >= 5
+    return packages.where(many).select(F.lit("crowded").alias("type"), F.lit("info").alias("severity"), "node_ids", F.concat(F.lit("Package "), "package").alias("description"))
+
+
+@query(f"""with {NODES_SQL}, p as (select source_id, list('part-' || ord order by ord) as ids from nodes where ord % 3 = 0 group by source_id having count(*) >= 5)
+select 'own' as detector, 'crowded' as type, 'Package ' || source_id as description, md5(array_to_string(ids, '|')) as ids from p""")
+def own_detector(spark, sf):
+    """A detector of one's own: an embedding function, the candidate filter that goes by its vectors, and a context provider."""
+    nodes = hooks.embed_nodes(d.nodes(spark, sf), _remote_only)
+    own = detect.Detector("own", _crowded, near=(5, 0.3), context=hooks.grouped_by("source_id"))
+    found = detect.run_detectors(nodes, d.edges(spark, sf), F.current_timestamp(), (own,))
+    return found.select("detector", "type", "description", F.md5(F.array_join("node_ids", "|")).alias("ids"))
+
+
+_AUTHORITY = "greatest(0.0::double, least(1.0::double, 0.5::double * case p_partkey % 3 when 0 then 0.9::double when 1 then 0.2::double else 0.4::double end + 0.25::double * 0.6::double + 0.25::double * case when p_partkey % 2 = 0 then 0.5::double else pow(0.5::double, (p_partkey % 50) / 30.0::double) end))"
+
+
+@query(f"select p_partkey, round({_AUTHORITY}, 9) as authority from part")
+def configured_authority(spark, sf):
+    """Authority of parts with weights of one's own; every second has no date."""
+    weights = hooks.AuthorityConfig(roles={"lead": 0.9, "guest": 0.2, "unknown": 0.4}, sources={"unknown": 0.6}, shares=(0.5, 0.25, 0.25), half_life_days=30.0)
+    k, now = F.col("p_partkey"), F.to_timestamp(F.lit("2020-01-01"))
+    role = F.when(k % 3 == 0, "Lead").when(k % 3 == 1, "guest")
+    at = F.when(k % 2 == 1, F.timestamp_seconds(F.unix_timestamp(now) - (k % 50) * 86400))
+    return table(spark, sf, "part").select("p_partkey", F.round(weights.of(role, F.lit("wiki"), at, now), 9).alias("authority"))

@@ -243,3 +243,16 @@ def test_library_does_without_the_training_text_part():
     root = Path(__file__).resolve().parents[1]
     found = subprocess.run([sys.executable, "-c", "import factweave.queries, factweave.queries_more, sys; print([m for m in sys.modules if 'llm' in m])"], cwd=root, capture_output=True, text=True, check=True)
     assert found.stdout.strip() == "[]"
+
+
+def test_excerpts_headlines_questions(spark):
+    long = "One sentence that is long enough to stand. And another one that goes on and on"
+    rows = [("  few \n words ", "few words"), (long, "One sentence that is long enough to stand."), ("word " * 20, ("word " * 12).strip() + "…"), ("x" * 70, "x" * 60 + "…"), ("Short. " + "y" * 60, "Short. " + "y" * 53 + "…"), (None, "")]
+    got = spark.createDataFrame(rows, "c string, want string").select(text.clean_excerpt(F.col("c"), 60).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    heads = [("Topic", "any", "Topic"), (None, "Short: and long", "Short"), (None, "no colon", "no colon"), (None, "y" * 90, "y" * 77 + "...")]
+    got = spark.createDataFrame(heads, "t string, d string, want string").select(text.headline(F.col("t"), F.col("d")).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    asked = [(" it differs ", ["a"], [], "What is the correct information regarding: it differs"), ("", ["a", " ", "b"], ["s"], "What is the current policy on a and b?"), (None, [], ["", " First\nsecond"], "What is the current policy on First?"), (None, None, None, None)]
+    got = spark.createDataFrame(asked, "d string, t array<string>, s array<string>, want string").select(feedback.detection_question(F.col("d"), F.col("t"), F.col("s")).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
