@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from factweave.functions import extract, scores, text
 from factweave.functions.text import CLAIM_STOP, TOKEN_STOP
-from factweave.operators import answers, detect, feedback, hooks, pairs, vectorlists
+from factweave.operators import answers, detect, feedback, filters, hooks, pairs, vectorlists
 from factweave.plans import domain as d
 from factweave.plans.domain import EDGES_SQL, NODES_SQL, SIGNALS_SQL, table
 from factweave.registry import query
@@ -150,3 +152,80 @@ def configured_authority(spark, sf):
     role = F.when(k % 3 == 0, "Lead").when(k % 3 == 1, "guest")
     at = F.when(k % 2 == 1, F.timestamp_seconds(F.unix_timestamp(now) - (k % 50) * 86400))
     return table(spark, sf, "part").select("p_partkey", F.round(weights.of(role, F.lit("wiki"), at, now), 9).alias("authority"))
+
+
+_DENY = "not no never none neither nor nothing nowhere nobody don''t doesn''t didn''t won''t wouldn''t shouldn''t couldn''t isn''t aren''t wasn''t weren''t cannot".split()
+_SAID = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9_'']+'), lambda w: w <> '')"
+
+
+@query(f"""with t as (select conv_id, turn, lag(text) over (partition by conv_id order by turn) as before, text || case when turn % 3 = 0 then ' I do not think so' else '' end as text from conversations),
+w as (select conv_id, turn, list_filter({_SAID.format('before')}, lambda w: len(w) > 3 and w not in ({_listed(_DENY)})) as subject, {_SAID.format('text')} as said from t where before is not null)
+select conv_id, turn, list_has_any(subject, said) and list_has_any(said, [{_listed(_DENY)}]) as denied from w""")
+def denied_turns(spark, sf):
+    """Turns that deny what the turn before them speaks of; every third says so."""
+    t = table(spark, sf, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
+    said = F.concat("text", F.when(F.col("turn") % 3 == 0, " I do not think so").otherwise(""))
+    return t.select("conv_id", "turn", scores.negation_conflict(F.col("before"), said).alias("denied"))
+
+
+_AS_UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)"
+
+
+@query(f"""with x as (select conv_id, turn, text, md5(text) as h from conversations) select conv_id, turn, case when turn % 5 = 0 then 'empty question' when trim(text) = '' then 'empty original answer' when turn % 5 = 1 then 'empty corrected answer' when turn % 5 = 2 then 'identical answers' when turn % 5 = 3 and conv_id % 2 = 0 then 'question is an id' end as reason from x""")
+def turn_corrections(spark, sf):
+    """Turns as corrected answers: without a question, without a correction, with the same text again, and asked by ids."""
+    h, k = F.md5("text"), F.col("turn") % 5
+    uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    asked = F.when(k == 0, " ").when((k == 3) & (F.col("conv_id") % 2 == 0), F.concat(uuid, F.lit(", "), F.upper(uuid))).otherwise(F.concat(F.lit("What of "), uuid))
+    answer = F.when(k == 1, "").when(k == 2, F.concat(F.lit("  "), F.trim("text"), F.lit(" "))).otherwise(F.concat("text", F.lit("!")))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", asked.alias("original_question"), F.col("text").alias("original_answer"), answer.alias("corrected_answer"))
+    return filters.validate_corrections(rows).select("conv_id", "turn", "reason")
+
+
+@query("""select doc_id, case doc_id % 4 when 0 then 'direct' when 1 then 'fenced' when 2 then 'embedded' else 'repaired' end as mode, n_chars, md5(case when doc_id % 4 = 3 then lang else text end) as said from documents""")
+def wrapped_answers(spark, sf):
+    """Documents as answers in JSON: as it is, in a fence, in the midst of words, and cut off."""
+    k = F.col("doc_id") % 4
+    whole = F.to_json(F.struct("n_chars", F.col("text").alias("said")))
+    cut = F.concat(F.lit('{"n_chars": '), F.col("n_chars").cast("string"), F.lit(', "said": "'), "lang")
+    answer = F.when(k == 0, whole).when(k == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Sure: "), whole, F.lit(" So it is."))).otherwise(cut)
+    docs = table(spark, sf, "documents").where(~F.col("text").contains("```")).select("doc_id", extract.parse_model_json(answer).alias("p"))
+    got = docs.select("doc_id", "p.mode", F.from_json("p.json", "n_chars long, said string").alias("x"))
+    return got.select("doc_id", "mode", "x.n_chars", F.md5("x.said").alias("said"))
+
+
+@query(r"""with s as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]+'), lambda s: lower(trim(s))), lambda s: len(s) > 20) as s from documents) select doc_id, len(s)::bigint as n, md5(array_to_string(s, '|')) as said from s""")
+def sentence_lists(spark, sf):
+    """Sentences of more than twenty characters."""
+    found = text.long_sentences(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.size(found).cast("long").alias("n"), F.md5(F.array_join(found, "|")).alias("said"))
+
+
+@query(f"""with x as (select doc_id, md5(text) as h from documents), y as (select doc_id, {_AS_UUID} as u from x) select doc_id, doc_id % 4 in (0, 2) as ids from y""")
+def id_lists(spark, sf):
+    """Which texts are UUIDs: one alone, one with a word, several, and one cut short."""
+    h, k = F.md5("text"), F.col("doc_id") % 4
+    uuid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    told = F.when(k == 0, F.concat(F.lit(" "), uuid)).when(k == 1, F.concat(uuid, F.lit(" is it"))).when(k == 2, F.concat_ws(", ", uuid, F.upper(uuid), uuid)).otherwise(F.concat(uuid, F.lit("0")))
+    return table(spark, sf, "documents").select("doc_id", text.is_uuid_list(told).alias("ids"))
+
+
+@query("""with p as (select p_partkey as k, 2017 + p_partkey % 4 as y, p_partkey % 12 + 1 as m from part), d as (select k, case k % 3 when 0 then 'Q' || (k % 4 + 1) || ' ' || y when 1 then y || '-' || lpad(m::varchar, 2, '0') else 'by ' || ['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December'][m] || ' ' || y end as label,
+last_day(make_date(y, case k % 3 when 0 then 3 * (k % 4 + 1) else m end, 1)) + interval 86399 second as e, k % 5 = 0 as noted from p),
+t as (select *, epoch(e) - epoch(timestamp '2019-06-15') as left_ from d) select 'part-' || k as id, label, left_ < 0 as expired, case when left_ < 0 then floor(-left_ / 2592000.0::double + 0.5)::bigint end as months_ago, case when left_ < 0 then case when noted then 'info' else 'warning' end when left_ <= 2592000 then 'warning' else 'info' end as severity from t""")
+def part_deadlines(spark, sf):
+    """Deadlines of parts as quarters, months and names of months; every fifth in the notes of a meeting."""
+    k = F.col("p_partkey")
+    y, m = (F.lit(2017) + k % 4).cast("string"), (k % 12 + 1).cast("int")
+    names = F.array(*[F.lit(x.capitalize()) for x in text.MONTHS])
+    told = F.when(k % 3 == 0, F.concat(F.lit("Due in Q"), (k % 4 + 1).cast("string"), F.lit(" "), y, F.lit("."))).when(k % 3 == 1, F.concat(F.lit("The deadline is "), y, F.lit("-"), F.lpad(m.cast("string"), 2, "0"), F.lit("."))).otherwise(F.concat(F.lit("To be done by "), F.element_at(names, m), F.lit(" "), y, F.lit(".")))
+    nodes = table(spark, sf, "part").select(F.concat(F.lit("part-"), k.cast("string")).alias("id"), k.alias("ord"), F.lit("").alias("title"), F.lit("").alias("summary"), F.array().cast("array<string>").alias("facts"), told.alias("raw"), F.when(k % 5 == 0, "meeting_notes").otherwise("general").alias("doc_type"))
+    hits = detect.deadline_hits(nodes, F.to_timestamp(F.lit("2019-06-15")))
+    return hits.select("id", "label", "expired", F.col("months_ago").cast("long").alias("months_ago"), "severity")
+
+
+@query(r"""with w as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^a-zA-Z0-9_]+'), lambda w: len(w) > 2) as e, list_filter(regexp_split_to_array(lower(substr(text, 1, len(text) // 3)), '[^a-zA-Z0-9_]+'), lambda w: len(w) > 2) as a from benchmark) select item_id, round(case when len(e) = 0 then 1 else len(list_filter(e, lambda x: list_contains(a, x)))::double / len(e) end, 9) as accuracy from w""")
+def keyword_shares(spark, sf):
+    """The share of a benchmark item's words that its first third has."""
+    third = F.substring("text", F.lit(1), F.floor(F.length("text") / 3).cast("int"))
+    return table(spark, sf, "benchmark").select("item_id", F.round(scores.keyword_accuracy(F.col("text"), third), 9).alias("accuracy"))
