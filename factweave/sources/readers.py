@@ -54,25 +54,28 @@ def html_title(html: Column) -> Column:
     return F.when(html.rlike(r"(?is)<title[^>]*>.*?</title>"), F.trim(found)).otherwise("Untitled")
 
 
+# Tags that go with what is in them, and what stands for the others, in order.
+DROPPED_TAGS = ("script", "style", "nav", "footer", "header", "aside")
+TAG_RULES = (
+    *((rf"(?is)<h{n}[^>]*>(.*?)</h{n}>", "\n" + "#" * n + " $1\n") for n in range(1, 7)),
+    (r"(?is)<li[^>]*>(.*?)</li>", "- $1\n"),
+    (r"(?i)</?[ou]l[^>]*>", "\n"),
+    (r"(?is)<p[^>]*>(.*?)</p>", "\n$1\n"),
+    (r"(?i)<br\s*/?>", "\n"),
+    (r"(?i)<hr\s*/?>", "\n---\n"),
+    (r"(?is)<(?:strong|b)[^>]*>(.*?)</(?:strong|b)>", "**$1**"),
+    (r"(?is)<(?:em|i)[^>]*>(.*?)</(?:em|i)>", "*$1*"),
+    (r"(?is)<pre[^>]*><code[^>]*>(.*?)</code></pre>", "\n```\n$1\n```\n"),
+    (r"(?is)<code[^>]*>(.*?)</code>", "`$1`"),
+    (r"(?is)<a[^>]*>(.*?)</a>", "$1"),
+    (r"<[^>]+>", ""),
+)
+
+
 def html_to_markdown(html: Column) -> Column:
     """Text of a page with Markdown marks; scripts, styles, navigation, header, footer, asides and comments go."""
-    c = F.coalesce(html, F.lit(""))
-    c = _sub(c, *[(rf"(?is)<{t}.*?</{t}>", "") for t in ("script", "style", "nav", "footer", "header", "aside")], (r"(?s)<!--.*?-->", ""))
-    c = _sub(c, *[(rf"(?is)<h{n}[^>]*>(.*?)</h{n}>", "\n" + "#" * n + " $1\n") for n in range(1, 7)])
-    c = _sub(
-        c,
-        (r"(?is)<li[^>]*>(.*?)</li>", "- $1\n"),
-        (r"(?i)</?[ou]l[^>]*>", "\n"),
-        (r"(?is)<p[^>]*>(.*?)</p>", "\n$1\n"),
-        (r"(?i)<br\s*/?>", "\n"),
-        (r"(?i)<hr\s*/?>", "\n---\n"),
-        (r"(?is)<(?:strong|b)[^>]*>(.*?)</(?:strong|b)>", "**$1**"),
-        (r"(?is)<(?:em|i)[^>]*>(.*?)</(?:em|i)>", "*$1*"),
-        (r"(?is)<pre[^>]*><code[^>]*>(.*?)</code></pre>", "\n```\n$1\n```\n"),
-        (r"(?is)<code[^>]*>(.*?)</code>", "`$1`"),
-        (r"(?is)<a[^>]*>(.*?)</a>", "$1"),
-        (r"<[^>]+>", ""),
-    )
+    dropped = [(rf"(?is)<{t}.*?</{t}>", "") for t in DROPPED_TAGS]
+    c = _sub(F.coalesce(html, F.lit("")), *dropped, (r"(?s)<!--.*?-->", ""), *TAG_RULES)
     for entity, sign in ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(sign))
     return trimmed_lines(c)
