@@ -27,11 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    Cuts the lineage with columnar files that survive the loss of any executor.
+    Cuts the lineage with columnar files that survive the loss of any executor. What was shuffled for it isn't needed any
+    more; Spark deletes that once its driver has collected its garbage, which is asked for here so that disks don't fill.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
