@@ -240,29 +240,45 @@ def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
     return np.unique(np.array([h(joined[a:b]) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=False)], np.uint64))
 
 
-#: Bands and rows of the MinHash: two sets of similarity s share a band with probability 1 - (1 - s ** ROWS) ** BANDS,
-#: which is 1 - 3e-6 at 0.8.
-BANDS, ROWS = 32, 5
-_FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Segments of a document's wide fingerprint, and sampled shingles of each. Two sets of similarity s have the samples of a
+#: segment in common, but for one at most, with probability p = s ** 6 + 6 * (1 - s) * s ** 5, and share a variant of one of
+#: the segments with 1 - (1 - p) ** 12, which is 1 - 3e-6 at 0.8.
+SEGMENTS, SAMPLES = 12, 6
+_FACTORS, _PLACES = np.random.default_rng(SEED).integers(1, 1 << 63, (2, SEGMENTS * SAMPLES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A key for each band of ``ROWS`` minima of a set of shingle hashes, as signed longs; none for the empty set."""
-    if not len(shingles):
-        return np.empty(0, np.int64)
+def segment_samples(shingles: np.ndarray) -> np.ndarray:
+    """The sampled shingle hashes of all segments: the least of a set under each of as many mixings."""
     least = np.full(len(_FACTORS), np.iinfo(np.uint64).max)
     for at in range(0, len(shingles), 4096):
         x = shingles[at : at + 4096, None]
         x = (x ^ (x >> np.uint64(29))) * _FACTORS
         least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0))
-    rows, h = np.ascontiguousarray(least.reshape(BANDS, ROWS)), xxhash.xxh3_64_intdigest
-    return np.array([h(rows[b].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64)
+    return least
+
+
+def segment_variants(samples: np.ndarray) -> np.ndarray:
+    """The one-wildcard variants of each row's segments as signed longs: a key for each segment and sample left out.
+
+    A variant is the SimHash of the segment's other samples: a bit is set if it is set in over half of them. So two sets
+    share one if they agree in a segment but for one sample; which one and which segment is mixed into the key.
+    """
+    x = (samples ^ (samples >> np.uint64(31))) * _PLACES  # high bits of minima are mostly zeros
+    x = ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).reshape(-1, SEGMENTS, SAMPLES)
+    x ^= x >> np.uint64(32)
+    ones, twos, fours = np.zeros((3, *x.shape[:2]), np.uint64)  # bits of the counts of all 64 places
+    for j in range(SAMPLES):
+        carry = ones & x[:, :, j]
+        ones, fours, twos = ones ^ x[:, :, j], fours | (twos & carry), twos ^ carry
+    # of six samples four or more are set, or three and not the one left out
+    fps = fours[:, :, None] | ((ones & twos & ~fours)[:, :, None] & ~x)
+    return (fps.reshape(len(x), -1) ^ _PLACES).view(np.int64)
 
 
 def _sets(docs: DataFrame, k: int, whole: bool) -> DataFrame:
-    """``doc_id, text_hash, s1`` and, with ``whole``, the bytes of a row's set of shingles, else the ``keys`` of its bands.
+    """``doc_id, text_hash, s1`` and, with ``whole``, the bytes of a row's set of shingles, else the ``keys`` of its segments.
 
-    ``s1`` is a hash that names the set.
+    ``s1`` is a hash that names the set; a set without a shingle has no keys.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     last, of = ("shingles binary", pa.binary()) if whole else ("keys array<long>", pa.list_(pa.int64()))
@@ -273,7 +289,8 @@ def _sets(docs: DataFrame, k: int, whole: bool) -> DataFrame:
                 part = batch.slice(at, 1000)
                 sets = [shingle_set(t.as_py(), k) for t in part.column(2)]
                 name = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                values = pa.array([s.tobytes() if whole else band_keys(s) for s in sets], of)
+                values = [s.tobytes() for s in sets] if whole else segment_variants(np.array([segment_samples(s) for s in sets]))
+                values = pa.array([v if whole or len(s) else [] for s, v in zip(sets, values, strict=True)], of)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(name), values], ["doc_id", "text_hash", "s1", last.split(" ")[0]])
 
     return docs.select("doc_id", _text_hash().alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, s1 long, {last}")
@@ -300,8 +317,8 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> D
     """Classes of documents linked by a Jaccard similarity of ``k``-word shingles of at least ``similarity``.
 
     One row per input row: ``doc_id, text_hash, class``. Rows with equal sets of shingles, by 64 bits of a hash, are one,
-    also those without a word. Sets that share a band of their MinHash meet (see ``meeting.links``), and each link is
-    verified on the whole sets.
+    also those without a word. Sets that share a one-wildcard variant of a segment of their fingerprints (see
+    ``segment_variants``) meet (see ``meeting.links``), and each link is verified on the whole sets.
     """
     prints = stage(_sets(docs, k, False), "near-sets")
     named = prints.select(F.col("s1").alias("name"), "text_hash")
@@ -312,7 +329,7 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> D
         sets = _sets(texts.select("doc_id", "text"), k, True).select(F.col("s1").alias("name"), "shingles", (F.octet_length("shingles") / 8).cast("long").alias("size"))
         return stage(sets.dropDuplicates(["name"]), "near-some")
 
-    keyed = prints.select(F.col("s1").alias("name"), F.explode("keys").alias("key"))  # the band's number is hashed into its key
+    keyed = prints.select(F.col("s1").alias("name"), F.explode("keys").alias("key"))
     found = links(keyed, fetch, lambda pairs, sets: _alike(pairs, sets, similarity), similarity)
     label = broadcast_if(stage(connected_components(found).select(F.col("node").alias("s1"), F.col("component").alias("class")), "near-labels"))
     return prints.select("doc_id", "text_hash", "s1").join(label, "s1", "left").select("doc_id", "text_hash", F.coalesce("class", "s1").alias("class"))
