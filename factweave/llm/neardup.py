@@ -276,9 +276,9 @@ def segment_variants(samples: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, k: int, whole: bool) -> DataFrame:
-    """``doc_id, text_hash, s1`` and, with ``whole``, the bytes of a row's set of shingles, else the ``keys`` of its segments.
+    """``doc_id, text_hash, s1, size`` and, with ``whole``, the bytes of a row's set of shingles, else the ``keys`` of its segments.
 
-    ``s1`` is a hash that names the set; a set without a shingle has no keys.
+    ``s1`` is a hash that names the set, ``size`` its number of shingles; a set without a shingle has no keys.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     last, of = ("shingles binary", pa.binary()) if whole else ("keys array<long>", pa.list_(pa.int64()))
@@ -291,9 +291,9 @@ def _sets(docs: DataFrame, k: int, whole: bool) -> DataFrame:
                 name = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
                 values = [s.tobytes() for s in sets] if whole else segment_variants(np.array([segment_samples(s) for s in sets]))
                 values = pa.array([v if whole or len(s) else [] for s, v in zip(sets, values, strict=True)], of)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(name), values], ["doc_id", "text_hash", "s1", last.split(" ")[0]])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(name), pa.array([len(s) for s in sets], pa.int64()), values], ["doc_id", "text_hash", "s1", "size", last.split(" ")[0]])
 
-    return docs.select("doc_id", _text_hash().alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, s1 long, {last}")
+    return docs.select("doc_id", _text_hash().alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, s1 long, size long, {last}")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -326,11 +326,11 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> D
     def fetch(wanted: DataFrame) -> DataFrame:
         texts = named.join(broadcast_if(wanted), "name", "left_semi").groupBy("name").agg(F.first("text_hash").alias("text_hash"))
         texts = docs.withColumn("text_hash", _text_hash()).join(broadcast_if(stage(texts.select("text_hash"), "near-wanted")), "text_hash", "left_semi")
-        sets = _sets(texts.select("doc_id", "text"), k, True).select(F.col("s1").alias("name"), "shingles", (F.octet_length("shingles") / 8).cast("long").alias("size"))
+        sets = _sets(texts.select("doc_id", "text"), k, True).select(F.col("s1").alias("name"), "shingles", "size")
         return stage(sets.dropDuplicates(["name"]), "near-some")
 
     keyed = prints.select(F.col("s1").alias("name"), F.explode("keys").alias("key"))
-    found = links(keyed, fetch, lambda pairs, sets: _alike(pairs, sets, similarity), similarity)
+    found = links(keyed, prints.select(F.col("s1").alias("name"), "size"), fetch, lambda pairs, sets: _alike(pairs, sets, similarity), similarity)
     label = broadcast_if(stage(connected_components(found).select(F.col("node").alias("s1"), F.col("component").alias("class")), "near-labels"))
     return prints.select("doc_id", "text_hash", "s1").join(label, "s1", "left").select("doc_id", "text_hash", F.coalesce("class", "s1").alias("class"))
 
