@@ -165,11 +165,12 @@ def repeated_runs(docs: DataFrame, min_run: int = 100, average: int = 24, least:
     kept = chunks.groupBy("d1", "d2").agg(F.min(place).alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = chunks.join(kept, ["d1", "d2"]).where(place != F.col("keep"))
     again = stage(again.select("doc_id", "text_key", F.col("at").cast("long").alias("at"), (F.col("at") + F.col("d2").bitwiseAND(F.lit(1023))).cast("long").alias("end"), F.col("keep.doc_id").alias("kept_id"), F.col("keep.text_key").alias("kept_key"), (F.col("at") - F.col("keep.at")).cast("long").alias("shift")).distinct(), "chunk-repeats")
+    release(chunks)  # before texts are moved
     ids = ["doc_id", "text_key", "kept_id", "kept_key"]
     lined = again.groupBy(*ids, "shift").agg(F.sum(F.col("end") - F.col("at")).alias("n"), F.collect_list(F.struct("shift", "at", "end")).alias("found")).where(F.col("n") >= ANCHOR)
     matches = stage(lined.groupBy(*ids).agg(F.flatten(F.collect_list("found")).alias("found")), "chunk-matches")
     spans = stage(again.select("doc_id", "text_key", F.col("at").alias("a"), F.col("end").alias("b"), F.col("kept_id").alias("kept_in")).unionByName(_extended(matches, docs)), "chunk-spans")
-    release(chunks, again, matches)
+    release(again, matches)
     order = Window.partitionBy("doc_id", "text_key").orderBy("a", F.desc("b"), "kept_in")
     before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("new", F.when(F.col("a") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
