@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,6 @@ from factweave.llm.spans import broadcast_if, cut_spans
 from factweave.plans.staging import release, stage
 
 
-
 def gear_table(seed: int = 1) -> np.ndarray:
     """256 pseudo-random 32-bit numbers, one per byte, by a multiplicative rule."""
     x = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
@@ -94,11 +94,15 @@ def chunk_table(docs: DataFrame, average: int = 48, least: int = 16, most: int =
 
 #: Equal bytes of chunks on one diagonal of two texts from which they are extended.
 ANCHOR = 24
+#: Slices of the kept texts that matches are extended in, one after the other, so that not all texts are on disk at once.
+SLICES = 2
 
 
-def _extended(matches: DataFrame, docs: DataFrame) -> DataFrame:
+def _extended(matches: DataFrame, docs: DataFrame) -> list[DataFrame]:
     """``doc_id, text_key, a, b, kept_in``: matches of chunks, made longer on both sides while the two texts agree.
 
+    A staged table for each slice of the kept texts.
+
     ``matches`` has ``doc_id, text_key, kept_id, kept_key`` and ``found``, an array of ``(shift, at, end)``: the bytes
     ``at`` to ``end`` are those of the kept text ``shift`` before.
     """
@@ -130,8 +134,14 @@ def _extended(matches: DataFrame, docs: DataFrame) -> DataFrame:
         texts = texts.dropDuplicates(["of_id", "of_key"])
     at_kept = F.col("of_id").eqNullSafe(F.col("kept_id")) & (F.col("of_key") == F.col("kept_key"))
     at_doc = F.col("of_id").eqNullSafe(F.col("doc_id")) & (F.col("of_key") == F.col("text_key"))
-    both = matches.join(texts.withColumnRenamed("text", "kept_text"), at_kept).drop("of_id", "of_key").join(texts, at_doc).drop("of_id", "of_key")
-    return both.mapInArrow(run, f"doc_id {kind}, text_key long, a long, b long, kept_in {kind}")
+    own = lambda i, *c: F.pmod(F.xxhash64(*c), F.lit(SLICES)) == i
+
+    def part(i: int) -> DataFrame:
+        kept = texts.where(own(i, "of_id", "of_key")).withColumnRenamed("text", "kept_text")
+        both = matches.where(own(i, "kept_id", "kept_key")).join(kept, at_kept).drop("of_id", "of_key").join(texts, at_doc).drop("of_id", "of_key")
+        return both.mapInArrow(run, f"doc_id {kind}, text_key long, a long, b long, kept_in {kind}")
+
+    return [stage(part(i), "chunk-extended") for i in range(SLICES)]
 
 
 def _whole_copies(docs: DataFrame) -> DataFrame:
@@ -169,8 +179,10 @@ def repeated_runs(docs: DataFrame, min_run: int = 100, average: int = 24, least:
     ids = ["doc_id", "text_key", "kept_id", "kept_key"]
     lined = again.groupBy(*ids, "shift").agg(F.sum(F.col("end") - F.col("at")).alias("n"), F.collect_list(F.struct("shift", "at", "end")).alias("found")).where(F.col("n") >= ANCHOR)
     matches = stage(lined.groupBy(*ids).agg(F.flatten(F.collect_list("found")).alias("found")), "chunk-matches")
-    spans = stage(again.select("doc_id", "text_key", F.col("at").alias("a"), F.col("end").alias("b"), F.col("kept_id").alias("kept_in")).unionByName(_extended(matches, docs)), "chunk-spans")
-    release(again, matches)
+    longer = _extended(matches, docs)
+    spans = again.select("doc_id", "text_key", F.col("at").alias("a"), F.col("end").alias("b"), F.col("kept_id").alias("kept_in"))
+    spans = stage(reduce(DataFrame.unionByName, longer, spans), "chunk-spans")
+    release(again, matches, *longer)
     order = Window.partitionBy("doc_id", "text_key").orderBy("a", F.desc("b"), "kept_in")
     before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("new", F.when(F.col("a") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
