@@ -15,7 +15,7 @@ from factweave.functions.text import B0, B1, SPACES, claim_stems, clean_excerpt,
 from factweave.operators.firstpairs import first_pairs
 from factweave.operators.graph import connected_components
 from factweave.operators.greedy import shared_prefixes, take_in_order
-from factweave.operators.pairs import boost_severity, edge_contradictions, heuristic_contradictions, near_vectors, node_text, overlap_pairs, prefilter
+from factweave.operators.pairs import boost_severity, edge_contradictions, heuristic_contradictions, near_vectors, node_text, overlap_pairs, prefilter, shared_sets
 from factweave.plans.staging import stage
 
 DAY = 86400.0
@@ -72,15 +72,27 @@ def time_bombs(nodes: DataFrame, as_of: Column, limit: int | None = 20) -> DataF
 def completed_deadlines(bombs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Expired deadlines that another node may have completed: ``bombs`` with ``completed_by`` (its title), severity info then.
 
-    The other node has a word of completion and shares three topic words; the first in order stands.
+    The other node has a word of completion and shares three topic words; the first in order stands. Equal sets of topic words are one
+    class; only the first two nodes of a class are looked at, as one may be the deadline's own.
     """
     short = F.concat_ws(" ", "title", F.array_join("facts", " "), "summary")
-    words = nodes.select("id", "ord", "title", topic_words(short).alias("topics"), short.rlike(f"(?i){COMPLETION}").alias("done"))
-    own = bombs.where("expired").select("label", F.element_at("node_ids", 1).alias("id")).join(words.select("id", "topics"), "id").where(F.size("topics") >= 2)
-    mine = own.select("label", F.col("id").alias("own"), F.explode("topics").alias("w"))
-    theirs = words.where("done").select("id", "ord", "title", F.explode("topics").alias("w"))
-    met = mine.join(theirs, "w").where("own <> id").groupBy("label", "id", "ord", "title").count().where("count >= 3")
-    first = met.groupBy("label").agg(F.min_by("title", "ord").alias("completed_by"))
+    words = nodes.select("id", F.struct("ord", "id", "title").alias("node"), F.array_sort(topic_words(short)).alias("tokens"), short.rlike(f"(?i){COMPLETION}").alias("done"))
+    words = stage(words.where(F.size("tokens") >= 3), "topic-words")
+    sets = stage(words.select("tokens").distinct().withColumn("cls", F.monotonically_increasing_id()), "topic-sets")
+    met = shared_sets(sets, 3, True).select("cls", "other")
+    met = met.unionByName(met.select(F.col("other").alias("cls"), F.col("cls").alias("other"))).unionByName(sets.select("cls", F.col("cls").alias("other")))
+
+    def first_two(rows: DataFrame, key: str) -> DataFrame:
+        """The first two nodes of each key."""
+        one = rows.groupBy(key).agg(F.min("node").alias("one"))
+        two = rows.join(one, key).where("node.id <> one.id").groupBy(key).agg(F.min("node").alias("two"))
+        return one.join(two, key, "left").select(key, F.explode(F.array_compact(F.array("one", "two"))).alias("node"))
+
+    of = words.join(sets, "tokens")
+    theirs = first_two(of.where("done").select(F.col("cls").alias("other"), "node"), "other")
+    best = first_two(met.join(theirs, "other").select("cls", "node"), "cls")
+    mine = bombs.where("expired").select("label", F.element_at("node_ids", 1).alias("id")).join(of.select("id", "cls"), "id")
+    first = mine.join(best, "cls").where("id <> node.id").groupBy("label").agg(F.min("node")["title"].alias("completed_by"))
     rows = bombs.join(first, "label", "left")
     return rows.withColumn("severity", F.when(F.col("completed_by").isNotNull(), "info").otherwise(F.col("severity")))
 
