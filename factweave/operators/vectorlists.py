@@ -13,6 +13,8 @@ from factweave.plans.staging import stage
 
 #: Vectors that the centroids are made from, at most, and centroids and rings, at most.
 SAMPLE, CENTROIDS, RINGS = 16_384, 1_024, 16_384
+#: Numbers of the vectors that one task has on a side, at most, but for a ring.
+CELL = 4_194_304
 #: Of an angle, for rounding.
 SLACK = 1e-6
 
@@ -49,7 +51,8 @@ def knn_lists(nodes: DataFrame, k: int, min_similarity: float | None = None, blo
     Equal vectors are searched once and expanded to their ids, the first ``k`` of each. A vector belongs to the list of its nearest centroid,
     and in it to a ring of about ``block`` vectors by its angle from there. Each ring first meets itself, which bounds the angle of
     a vector's ``k``-th neighbour; angles obey the triangle inequality, so of the other rings only those are read that can
-    hold a nearer one. All directions alike (no clusters, many dimensions) rule out little: then most rings meet, as in ``knn``.
+    hold a nearer one. Rings are dealt to cells of many on both sides, so a ring is sent once for each cell, not for each ring it meets, and a cell
+    gives the best of a vector, not those of each ring. All directions alike (no clusters, many dimensions) rule out little: then most rings meet, as in ``knn``.
     Ties go by id, a vector itself first. Nodes without a vector are left out; a vector of zeros has cosine 0 with all, and is far from none.
     """
     kind = nodes.schema["id"].dataType.simpleString()
@@ -107,14 +110,46 @@ def knn_lists(nodes: DataFrame, k: int, min_similarity: float | None = None, blo
     todo = first.where("ring is not null").select("ring", "into")
     skipped = 1.0 - (todo.count() + len(names)) / len(names) ** 2
 
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r1, r2 in zip(batch["r1"], batch["r2"], strict=True):
-                x, y = (_unit([c["embedding"] for c in cells]) for cells in (r1, r2))
-                yield tops([c["did"] for c in r1], [c["did"] for c in r2], x @ y.T)
-
-    pairs = todo.join(rings.select("ring", F.col("rows").alias("r1")), "ring").join(rings.select(F.col("ring").alias("into"), F.col("rows").alias("r2")), "into")
-    met = first.where("ring is null").select("did", "other", "similarity").unionByName(pairs.select("r1", "r2").mapInPandas(meet, f"did {kind}, other {kind}, similarity double"))
+    dim = len(same.select("embedding").first()["embedding"])
+    chunks = max(1, -(-n // max(each, CELL // dim)))
+    chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks))
+    left = todo.groupBy("ring", chunk("into").alias("q")).agg(F.collect_list("into").alias("into")).withColumn("p", chunk("ring")).join(rings.select("ring", F.col("rows").alias("mine")), "ring")
+    right = todo.select(chunk("ring").alias("p"), "into").distinct().withColumn("q", chunk("into")).join(rings.select(F.col("ring").alias("into"), F.col("rows").alias("theirs")), "into")
+
+    def best_of(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of rows ``a``, those that are as good as the ``k``-th of their row."""
+        at = np.lexsort((-s, a))
+        a, b, s = a[at], b[at], s[at]
+        start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.array([], int)
+        size = np.diff(np.r_[start, len(a)])
+        bound = np.repeat(np.where(size >= k, s[np.minimum(start + k - 1, max(len(s) - 1, 0))], -2.0), size)
+        kept = s >= bound - 1e-12
+        return a[kept], b[kept], s[kept]
+
+    def meet(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        """The rings of one chunk with those of another that they need."""
+        of = {name: ([c["did"] for c in cells], _unit([c["embedding"] for c in cells])) for name, cells in zip(others["into"], others["theirs"], strict=True)}
+        out = []
+        for into, cells in zip(mine["into"], mine["mine"], strict=True):
+            ids, x = np.array([c["did"] for c in cells], object), _unit([c["embedding"] for c in cells])
+            own_s = x @ x.T
+            reach = np.partition(own_s, own_s.shape[1] - k, axis=1)[:, own_s.shape[1] - k] if own_s.shape[1] >= k else np.full(len(x), -2.0)
+            found, names_of, held = [np.array([], int), np.array([], int), np.array([])], [], 0
+            for name in into:
+                other, y = of[name]
+                s = x @ y.T
+                a, b = np.nonzero(s >= reach[:, None] - 1e-12)
+                found = [np.r_[p, q] for p, q in zip(found, (a, b + held, s[a, b]), strict=True)]
+                names_of += other
+                held += len(other)
+                if len(found[0]) > 8 * k * len(x):
+                    found = list(best_of(*found))
+            a, b, s = best_of(*found)
+            out.append(pd.DataFrame({"did": pd.Series(ids[a], dtype=object), "other": pd.Series(np.array(names_of, object)[b] if len(b) else [], dtype=object), "similarity": s}))
+        return pd.concat(out) if out else pd.DataFrame({"did": [], "other": [], "similarity": []})
+
+    pairs = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(meet, f"did {kind}, other {kind}, similarity double")
+    met = first.where("ring is null").select("did", "other", "similarity").unionByName(pairs)
     # the best vectors of each vector, then the ids that have these; a vector's own ids all have the same best
     best = met.withColumn("place", F.rank().over(Window.partitionBy("did").orderBy(F.desc(F.round("similarity", 12))))).where(F.col("place") <= k)
     many = best.join(same.select(F.col("did").alias("other"), "ids"), "other").select("did", F.round("similarity", 12).alias("similarity"), F.explode("ids").alias("other"))
